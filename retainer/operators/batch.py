@@ -114,12 +114,14 @@ def batch_summary(results: DataFrame) -> DataFrame:
 
 # G3 / G12 ----------------------------------------------------------------------------------------
 
-RANK_ORDER = [F.col("ChurnProbability").desc(), F.col("CustomerId").asc()]
+def rank_order() -> list[Column]:
+    """Descending probability, ties broken by the unique id."""
+    return [F.col("ChurnProbability").desc(), F.col("CustomerId").asc()]
 
 
 def top_risk_customers(results: DataFrame, n: int = 20) -> DataFrame:
     """Top-n by probability (ties by id): a distributed take-ordered."""
-    return (results.orderBy(*RANK_ORDER).limit(n)
+    return (results.orderBy(*rank_order()).limit(n)
                    .select("CustomerId", "Segment", "ChurnProbability", "RiskLevel"))
 
 
@@ -128,8 +130,8 @@ def result_page(results: DataFrame, page: int = 1, per_page: int = 5) -> DataFra
     total = results.agg(F.count(F.lit(1)).alias("n"))
     pages = F.ceil(total.select("n").scalar() / F.lit(float(per_page))).cast("bigint")
     start = (page - 1) * per_page
-    rows = results.orderBy(*RANK_ORDER).offset(start).limit(per_page)
-    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(*RANK_ORDER)))
+    rows = results.orderBy(*rank_order()).offset(start).limit(per_page)
+    ranked = rows.withColumn("_r", F.row_number().over(Window.orderBy(*rank_order())))
     return ranked.select((F.col("_r") + F.lit(start)).cast("bigint").alias("rank"),
                          "CustomerId", "Segment", "ChurnProbability", "RiskLevel",
                          pages.alias("total_pages"))

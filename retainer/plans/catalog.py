@@ -413,3 +413,7 @@ PROFILE_COLS = ["CreditScore", "Age", "Tenure", "Balance", "NumOfProducts", "Has
 def segment_profile(spark, d):
     from retainer.operators.segments import segment_profile as prof
     return prof(TB.enhanced_customers(spark, d), "SegmentName", PROFILE_COLS)
+
+
+# the other query groups register themselves on import
+from retainer.plans import analytics, scoring  # noqa: E402,F401
