@@ -416,4 +416,4 @@ def segment_profile(spark, d):
 
 
 # the other query groups register themselves on import
-from retainer.plans import analytics, evaluation, scoring  # noqa: E402,F401
+from retainer.plans import analytics, evaluation, ml, scoring  # noqa: E402,F401
