@@ -12,6 +12,15 @@ from pyspark.sql import functions as F
 from retainer import schema as S
 
 
+def row_scalars(one_row) -> dict[str, Column]:
+    """The columns of a one-row DataFrame as scalar-subquery columns.
+
+    All of them read one struct-valued subquery, so Spark runs it once
+    (ReuseSubquery) however many fields are used."""
+    s = one_row.select(F.struct(*one_row.columns).alias("_s")).scalar()
+    return {c: s.getField(c) for c in one_row.columns}
+
+
 def col_or(name: str, columns, default) -> Column:
     """``name`` when the frame has it, else the literal default."""
     return F.col(name) if name in columns else F.lit(default)

@@ -214,8 +214,9 @@ def portfolio_totals(impact: DataFrame, results: DataFrame) -> DataFrame:
     summ = results.agg(F.count(F.lit(1)).alias("n"),
                        F.count_if(C.is_high_risk(F.col("RiskLevel"))).alias("hr"),
                        F.avg("ChurnProbability").alias("p"))
-    loss, cost, savings = (tot.select(c).scalar() for c in ("loss", "cost", "savings"))
-    n, hr, p = (summ.select(c).scalar() for c in ("n", "hr", "p"))
+    t, sm = C.row_scalars(tot), C.row_scalars(summ)
+    loss, cost, savings = t["loss"], t["cost"], t["savings"]
+    n, hr, p = sm["n"], sm["hr"], sm["p"]
     roi = F.when(cost > 0, (savings - cost) / cost * F.lit(100)).otherwise(F.lit(0.0))
     hr_pct = F.when(n > 0, hr * F.lit(100.0) / n).otherwise(F.lit(0.0))
     return results.sparkSession.range(1).select(

@@ -79,7 +79,8 @@ def probability_histogram(df: DataFrame, value: str = "ChurnProbability", by: st
     """Counts per (bin, outcome) over ``bins`` equal-width bins shared by both
     outcomes; min/max come from one scalar-subquery aggregate."""
     rng = df.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    lo, hi = rng.select("lo").scalar(), rng.select("hi").scalar()
+    r = C.row_scalars(rng)
+    lo, hi = r["lo"], r["hi"]
     b = C.equal_width_bucket(F.col(value), lo, hi, bins)
     width = (hi - lo) / F.lit(float(bins))
     return (df.groupBy(b.alias("bin"), F.col(by))
@@ -210,9 +211,9 @@ def dataset_overview(df: DataFrame, split: DataFrame, n_features: int = len(S.FE
     sizes = split.agg(F.count_if(F.col("split") == "train").alias("train_size"),
                       F.count_if(F.col("split") == "test").alias("test_size"))
     base = df.agg(F.count(F.lit(1)).alias("total_samples"), R6(F.avg("Exited")).alias("churn_rate"))
+    sz = C.row_scalars(sizes)
     return base.select("total_samples", F.lit(n_features).alias("features"), "churn_rate",
-                       sizes.select("train_size").scalar().alias("train_size"),
-                       sizes.select("test_size").scalar().alias("test_size"))
+                       sz["train_size"].alias("train_size"), sz["test_size"].alias("test_size"))
 
 
 # F1 / F5 / F9 ---------------------------------------------------------------------------------------

@@ -86,9 +86,9 @@ def _cumulative(df: DataFrame, label: str, score: str) -> DataFrame:
     g = df.groupBy(score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
                               F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
     r = running_totals(g, [], [F.col(score).desc()], ["pos", "neg"], prefix="cum_")
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = C.row_scalars(g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")))
     return r.select(F.col(score).alias("threshold"), "cum_pos", "cum_neg",
-                    tot.select("P").scalar().alias("P"), tot.select("N").scalar().alias("N"))
+                    tot["P"].alias("P"), tot["N"].alias("N"))
 
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:

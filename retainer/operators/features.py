@@ -127,8 +127,8 @@ def serving_features(df: DataFrame) -> DataFrame:
 
 def median_scalars(df: DataFrame, cols: Sequence[str]) -> dict[str, Column]:
     """Exact table-wide medians as lazy scalar-subquery columns."""
-    med = exact_median(df, [], cols)
-    return {c: med.select(F.col(f"{c}_median")).scalar() for c in cols}
+    med = C.row_scalars(exact_median(df, [], cols))
+    return {c: med[f"{c}_median"] for c in cols}
 
 
 def add_high_value_median(df: DataFrame) -> DataFrame:
@@ -192,11 +192,12 @@ def impute_missing(df: DataFrame, numeric: Sequence[str] | None = None,
 def cap_outliers_iqr(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
     """Clamp each column to [Q1 - f*IQR, Q3 + f*IQR]; rows are kept, NULLs stay."""
     qs = exact_quantiles(df, [], cols, [0.25, 0.75])
+    wide = C.row_scalars(qs.groupBy().pivot("column", list(cols)).agg(
+        F.first(F.struct(F.col("q0").alias("q1"), F.col("q1").alias("q3")))))
     fills = {}
     for c in cols:
-        one = qs.where(F.col("column") == c)
-        q1 = one.select("q0").scalar()
-        q3 = one.select("q1").scalar()
+        q1 = wide[c].getField("q1")
+        q3 = wide[c].getField("q3")
         lo = q1 - F.lit(factor) * (q3 - q1)
         hi = q3 + F.lit(factor) * (q3 - q1)
         fills[c] = F.least(F.greatest(F.col(c).cast("double"), lo), hi)
@@ -245,12 +246,12 @@ def validate_rules(df: DataFrame, key: str = "CustomerId") -> DataFrame:
 def standardize(df: DataFrame, cols: Sequence[str] = S.CLUSTER_FEATURES,
                 keep: Sequence[str] = ("CustomerId",), suffix: str = "_z") -> DataFrame:
     """(x - mean) / population std per column; constant columns give NULL."""
-    stats = df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
-                   *[F.stddev_pop(c).alias(f"s_{c}") for c in cols])
+    stats = C.row_scalars(df.agg(*[F.avg(c).alias(f"m_{c}") for c in cols],
+                                 *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]))
     exprs = [F.col(k) for k in keep if k in df.columns]
     for c in cols:
-        m = stats.select(f"m_{c}").scalar()
-        s = stats.select(f"s_{c}").scalar()
+        m = stats[f"m_{c}"]
+        s = stats[f"s_{c}"]
         exprs.append(F.try_divide(F.col(c) - m, s).alias(f"{c}{suffix}"))
     return df.select(*exprs)
 

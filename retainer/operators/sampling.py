@@ -29,6 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retainer.functions import columns as C
 from retainer.operators.stats import exact_quantiles, row_positions
 
 
@@ -102,16 +103,57 @@ def _directions(dim: int, seed: int, n: int) -> list[list[float]]:
     return out
 
 
+def _principal_directions(points: DataFrame, dim: int, n: int, seed: int) -> list[list[float]]:
+    """Top-n principal axes (unit vectors) of the vectors; a distributed
+    covariance fit whose result is n x dim numbers.  Falls back to random
+    unit directions when the fit is degenerate."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    try:
+        vec = points.select(array_to_vector("_v").alias("features"))
+        pc = PCA(k=min(n, dim), inputCol="features").fit(vec).pc.toArray()
+        dirs = [[float(pc[i, j]) for i in range(dim)] for j in range(pc.shape[1])]
+        if len(dirs) == n and all(math.isfinite(sum(d)) for d in dirs):
+            return dirs
+    except Exception:  # noqa: BLE001 -- constant data etc.
+        pass
+    return _directions(dim, seed, n)
+
+
+def _morton(a: Column, b: Column, bits: int = 16) -> Column:
+    """Interleave the low ``bits`` bits of two non-negative ints (Z-order)."""
+    code = F.lit(0).cast("bigint")
+    for i in range(bits):
+        code = code.bitwiseOR(F.shiftleft(F.shiftright(a, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i))
+        code = code.bitwiseOR(F.shiftleft(F.shiftright(b, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i + 1))
+    return code
+
+
 def knn_within(points: DataFrame, k: int, dim: int, seed: int = 42, block: int = 16) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) among distinct vectors with
     multiplicities.  ``points``: (_id, _v array<double>, _m copies).
     Returns (_id, nbr_rank 1..k, nbr_id, dist); a point's own copies come
     first at distance 0 and a neighbour with c copies fills c ranks.
-    Points with at least k other copies need no search and are skipped."""
-    dirs = _directions(dim, seed, N_PROJ)
+    Points with at least k other copies need no search and are skipped.
+
+    Projections are on the principal axes, so the band join box is tight
+    along the directions where the data actually spreads."""
+    dirs = _principal_directions(points, dim, N_PROJ, seed)
     p = points.select("_id", "_v", "_m", *[_dot(F.col("_v"), d).alias(f"_p{j}") for j, d in enumerate(dirs)])
-    # 1. upper bound r of the k-th distance from blocks of consecutive ranks along _p0
-    ranked = row_positions(p, [F.col("_p0"), F.col("_id")], "_rank")
+    # 1. upper bound r of the k-th distance from blocks of consecutive
+    #    positions along a Z-order curve over the first two projections
+    rng = C.row_scalars(p.agg(*[F.min(f"_p{j}").alias(f"lo{j}") for j in range(2)],
+                              *[F.max(f"_p{j}").alias(f"hi{j}") for j in range(2)]))
+
+    def q16(j: int) -> Column:
+        span = rng[f"hi{j}"] - rng[f"lo{j}"]
+        z = F.when(span > 0, (F.col(f"_p{j}") - rng[f"lo{j}"]) / span).otherwise(F.lit(0.0))
+        return F.least(F.floor(z * F.lit(65535.0)), F.lit(65535)).cast("int")
+
+    zp = p.withColumns({"_q0": q16(0), "_q1": q16(1)})
+    zp = zp.withColumn("_z", _morton(F.col("_q0"), F.col("_q1"))).drop("_q0", "_q1")
+    ranked = row_positions(zp, [F.col("_z"), F.col("_id")], "_rank")
     blk = F.floor(F.col("_rank") / F.lit(block))
     a = ranked.select("_id", "_v", "_m", blk.alias("_b"))
     b = ranked.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_m").alias("_nm"),
@@ -170,6 +212,9 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int
     the minority rows as evenly as possible (every row q or q + 1 times,
     the extra ones by hash order) instead of i.i.d. draws.  Returns the
     input rows plus the synthetic ones (other columns NULL, ``synthetic`` 1)."""
+    # the input feeds several actions (class counts, k-NN, allocation, the
+    # final union): cut its lineage once in the shared checkpoint folder
+    df = df.checkpoint(eager=True) if _has_ckpt(df) else df.persist()
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()   # one row per class
     base = df.withColumn("synthetic", F.lit(0))
     if len(counts) < 2:
