@@ -69,7 +69,7 @@ def segment_churn_pct(spark, d):
 
 def _crosstab_sql() -> str:
     keys = D.RISK_KEYS
-    counts = ", ".join(f"count_if(RiskLevel = '{lv}') AS n_{k}" for lv, k in zip(S.RISK_LEVELS, keys))
+    counts = ", ".join(f"CAST(count_if(RiskLevel = '{lv}') AS BIGINT) AS n_{k}" for lv, k in zip(S.RISK_LEVELS, keys))
     total = " + ".join(f"n_{k}" for k in keys)
     shares = ", ".join(f"ROUND(n_{k} / ({total}), 6) AS share_{k}" for k in keys)
     ns = ", ".join(f"n_{k}" for k in keys)
@@ -107,7 +107,7 @@ def _density_sql(grid: int = 50, bins: int = 512) -> str:
         f"SELECT SegmentName AS segment, '{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM enhanced"
         for f in DENSITY_FEATURES)
     return q(f"""
-SELECT segment, feature, g AS grid_index, ROUND(gx, 6) AS x,
+SELECT segment, feature, CAST(g AS INTEGER) AS grid_index, ROUND(gx, 6) AS x,
        ROUND(k / NULLIF(n * h * sqrt(2 * pi()), 0) * 1e6, 6) AS density_e6
 FROM (SELECT p.segment, p.feature, p.g, p.gx, p.n, p.h,
              sum(b.cnt * exp(-5e-1 * ((p.gx - b.c) / p.h) * ((p.gx - b.c) / p.h))) AS k
@@ -206,7 +206,7 @@ def high_risk_profile(spark, d):
 
 
 @register("high_risk_summary", q(f"""
-SELECT count_if({HIGH}) AS n_high_risk,
+SELECT CAST(count_if({HIGH}) AS BIGINT) AS n_high_risk,
        ROUND(avg(CASE WHEN {HIGH} THEN 1 ELSE 0 END), 6) AS share,
        ROUND(avg(CASE WHEN {HIGH} THEN Age END), 6) AS avg_age,
        ROUND(avg(CASE WHEN {HIGH} THEN Balance END), 6) AS avg_balance,
@@ -230,7 +230,7 @@ def segment_details(spark, d):
     return x.select("segment", "age_range", *[F.round(c, 6).alias(c) for c in x.columns[2:]])
 
 
-@register("high_risk_count", q(f"SELECT count_if({HIGH}) AS high_risk_customers FROM enhanced"))
+@register("high_risk_count", q(f"SELECT CAST(count_if({HIGH}) AS BIGINT) AS high_risk_customers FROM enhanced"))
 def high_risk_count(spark, d):
     return D.high_risk_count(ENH(spark, d))
 

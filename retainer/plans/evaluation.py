@@ -167,7 +167,7 @@ def class_distribution(spark, d):
 
 @register("dataset_overview", q("""
 SELECT count(*) AS total_samples, 20 AS features, ROUND(avg(Exited), 6) AS churn_rate,
-       count_if(split = 'train') AS train_size, count_if(split = 'test') AS test_size FROM ev_split""", EVAL_CTES))
+       CAST(count_if(split = 'train') AS BIGINT) AS train_size, CAST(count_if(split = 'test') AS BIGINT) AS test_size FROM ev_split""", EVAL_CTES))
 def dataset_overview(spark, d):
     from retainer.operators.describe import dataset_overview as ov
 

@@ -38,7 +38,7 @@ def _summary_sql() -> str:
     pcts += [f"ROUND(count_if(Segment = '{sg}') * 100e0 / count(*), 6) AS segment_pct_{_key(sg)}"
              for sg in S.SEGMENTS]
     return q(f"""SELECT count(*) AS total_customers, ROUND(avg(ChurnProbability), 6) AS avg_churn_probability,
-       count_if({HIGH}) AS high_risk_count, {', '.join(pcts)} FROM batch""", SCORING_CTES)
+       CAST(count_if({HIGH}) AS BIGINT) AS high_risk_count, {', '.join(pcts)} FROM batch""", SCORING_CTES)
 
 
 @register("batch_summary", _summary_sql())
@@ -110,7 +110,7 @@ fin0 AS (
          b.customer_count * b.p AS expected,
          b.high_risk_count * COALESCE(CAST(perf.retention_cost AS DOUBLE), 300e0) AS cost
   FROM (SELECT Segment, count(*) AS customer_count, avg(ChurnProbability) AS p,
-               count_if({HIGH}) AS high_risk_count FROM batch GROUP BY Segment) b
+               CAST(count_if({HIGH}) AS BIGINT) AS high_risk_count FROM batch GROUP BY Segment) b
   LEFT JOIN perf ON b.Segment = perf.segment),
 fin AS (
   SELECT Segment, customer_count, ROUND(p, 6) AS expected_churn_rate,
@@ -135,7 +135,7 @@ SELECT s.n AS total_customers, ROUND(s.p * 100e0, 6) AS avg_churn_pct, s.hr AS h
        ROUND(CASE WHEN t.cost > 0 THEN (t.savings - t.cost) / t.cost * 100 ELSE 0e0 END, 6) AS overall_roi
 FROM (SELECT sum(potential_revenue_loss) AS loss, sum(retention_cost) AS cost,
              sum(potential_savings) AS savings FROM fin) t,
-     (SELECT count(*) AS n, count_if({HIGH}) AS hr, avg(ChurnProbability) AS p FROM batch) s""", FIN_CTES))
+     (SELECT count(*) AS n, CAST(count_if({HIGH}) AS BIGINT) AS hr, avg(ChurnProbability) AS p FROM batch) s""", FIN_CTES))
 def portfolio_totals(spark, d):
     res = batch_results(spark, d)
     return B.portfolio_totals(B.financial_impact(res, performance_table(spark, d)), res)
