@@ -9,12 +9,13 @@ joined to the rows with a broadcast hint on that proven bound.
 SMOTE finds k exact nearest neighbours inside the minority class without
 pairing all points:
 
-1. every point is projected on a fixed random direction and ranked along it;
-   blocks of consecutive ranks give each point >= k real candidates, whose
-   k-th distance ``r`` bounds its true k-th neighbour distance from above;
-2. a band join on the projection (|p_x - p_y| <= r_x, since a projection
-   never lengthens a distance) -- an equi-join on bins of the projection --
-   yields a candidate set that contains every true neighbour;
+1. every point is projected on the two principal axes and ranked along a
+   Z-order curve over them; blocks of consecutive ranks give each point >= k
+   real candidates, whose k-th distance ``r`` bounds its true k-th neighbour
+   distance from above;
+2. a band join on both projections (|p_x - p_y| <= r_x, since a projection
+   on a unit vector never lengthens a distance) -- an equi-join on bins of
+   the projections -- yields a candidate set holding every true neighbour;
 3. exact distances, top k per point by a window partitioned by the point.
 
 Identical vectors are collapsed first (with a multiplicity), so a hot spot

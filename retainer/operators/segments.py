@@ -119,13 +119,15 @@ def pca_projection(vectors: DataFrame, k: int = 2, keep: Sequence[str] = ("Custo
 
 def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
     """C2 + C3 + C4 end to end: cluster the scaled features, profile the
-    clusters, name them; returns CustomerId, CustomerSegment, SegmentName."""
-    vec = scaled_vectors(df)
+    clusters, name them; returns CustomerId, CustomerSegment, SegmentName.
+
+    The profile columns travel with the vectors, so no join back to the
+    customer table is needed; the name table has k rows (broadcast)."""
+    vec = scaled_vectors(df, keep=("CustomerId", "Age", "Balance")).checkpoint(eager=True) \
+        if df.sparkSession.sparkContext.getCheckpointDir() else scaled_vectors(df, keep=("CustomerId", "Age", "Balance"))
     model = fit_segments(vec, k, n_init, seed)
-    labelled = assign_segments(model, vec).select("CustomerId", "CustomerSegment")
-    joined = df.join(labelled, "CustomerId")
-    prof = segment_profile(joined, "CustomerSegment", ["Age", "Balance"])
+    labelled = assign_segments(model, vec)
+    prof = segment_profile(labelled, "CustomerSegment", ["Age", "Balance"])
     names = name_clusters(prof)
-    # names has k rows; broadcast is bounded by k
-    return joined.join(F.broadcast(names), "CustomerSegment").select(
+    return labelled.join(F.broadcast(names), "CustomerSegment").select(
         "CustomerId", "CustomerSegment", "SegmentName")
