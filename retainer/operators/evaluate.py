@@ -34,12 +34,13 @@ def auc_by(df: DataFrame, keys: Sequence[str], label: str, score: str) -> DataFr
     """ROC-AUC per key group by the tie-aware rank-sum formula:
     sum over score groups of neg_g * (pos above g + pos_g / 2) / (P * N)."""
     keys = list(keys)
-    g = df.groupBy(*keys, score).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("pos"),
-                                    F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("neg"))
-    r = running_totals(g, keys, [F.col(score).desc()], ["pos"], prefix="cum_")
-    term = F.col("neg") * (F.col("cum_pos") - F.col("pos") / F.lit(2.0))
+    g = df.groupBy(*keys, score).agg(
+        F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).cast("bigint").alias("_npos"),
+        F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).cast("bigint").alias("_nneg"))
+    r = running_totals(g, keys, [F.col(score).desc()], ["_npos"], prefix="_cum")
+    term = F.col("_nneg") * (F.col("_cum_npos") - F.col("_npos") / F.lit(2.0))
     return r.groupBy(*keys).agg(
-        F.try_divide(F.sum(term), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+        F.try_divide(F.sum(term), F.sum("_npos").cast("double") * F.sum("_nneg")).alias("roc_auc"))
 
 
 def metrics_by(df: DataFrame, keys: Sequence[str], label: str = "label", score: str = "p",

@@ -86,7 +86,8 @@ def f1_evaluator():
                                              labelCol="label", predictionCol="prediction")
 
 
-def grid_search(estimator, grid, train: DataFrame, fold_col: str = "fold", parallelism: int = 4):
+def grid_search(estimator, grid, train: DataFrame, fold_col: str = "fold", parallelism: int = 4,
+                n_folds: int = 5):
     """5-fold (by ``fold_col``) grid search on class-1 F1.  Returns
     (best model, best params dict, best mean CV score, seconds)."""
     import time
@@ -94,7 +95,7 @@ def grid_search(estimator, grid, train: DataFrame, fold_col: str = "fold", paral
     from pyspark.ml.tuning import CrossValidator
 
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=f1_evaluator(),
-                        foldCol=fold_col, parallelism=parallelism, seed=42)
+                        foldCol=fold_col, numFolds=n_folds, parallelism=parallelism, seed=42)
     t0 = time.time()
     m = cv.fit(train)
     secs = time.time() - t0

@@ -128,3 +128,14 @@ def test_streaming_scoring(spark, tmp):
     q2 = ST.start_rollup(spark, f"{tmp}/in", "rollup_t", f"{tmp}/ck2", trigger_once=True)
     q2.awaitTermination(120)
     assert spark.table("rollup_t").agg(F.sum("count")).first()[0] == want.count()
+
+
+def test_train_and_compare_pipeline(spark):
+    """Split -> SMOTE -> stratified folds -> CrossValidator grid -> test metrics."""
+    metrics, fitted, test = M.train_and_compare(spark, TB.churn_customers(spark, SF_SMALL),
+                                                models=("logistic",), parallelism=2)
+    row = metrics.first()
+    assert row.model == "logistic" and set(fitted) == {"logistic"}
+    for m in ("accuracy", "precision", "recall", "f1", "roc_auc"):
+        assert 0.0 <= row[m] <= 1.0
+    assert test.count() + 0 > 0
