@@ -4,17 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from retainer.llm.bpe_sql import bpe_round_trip
 from retainer.llm.minhash_odd import near_duplicates
+from retainer.llm.packing import pack
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(_documents(spark, sf_dir))
+
+
+def op8_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_documents(spark, sf_dir))
+
+
 def op10_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
 
 
 REGISTRY = {
+    "op1_byte_bpe": (op1_byte_bpe, None),
+    "op8_bounded_packing": (op8_bounded_packing, None),
     "op10_odd_sketch": (op10_odd_sketch, None),
 }

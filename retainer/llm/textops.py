@@ -95,3 +95,57 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
     _, inverse = _powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+class TokenStore:
+    """Token ids of words seen lately, so each distinct word is encoded once per worker.
+
+    `encode` turns a list of words (bytes) into a list of id sequences.  The store is
+    emptied when it holds more than `limit` words; that changes cost, never results.
+    """
+
+    def __init__(self, encode, limit: int = 500_000):
+        self.encode, self.limit = encode, limit
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.uint32)
+        self.ends = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def _add(self, words: list[bytes]) -> None:
+        for word, ids in zip(words, self.encode(words), strict=True):
+            n, at = len(ids), len(self.place)
+            if self.used + n > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
+            if at >= len(self.ends):
+                self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
+            self.ids[self.used : self.used + n] = ids
+            self.used += n
+            self.ends[at] = self.used
+            self.place[word] = at
+
+    def gather(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number of ids of each word)."""
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.place) > self.limit:
+            self._clear()
+        fresh = [w for w in distinct if w not in self.place]
+        if fresh:
+            self._add(fresh)
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        at = at[coded.indices.to_numpy(zero_copy_only=False)]
+        begin = np.where(at > 0, self.ends[at - 1], 0)
+        size = self.ends[at] - begin
+        stop = np.cumsum(size)
+        total = int(stop[-1])
+        return self.ids[np.repeat(begin - (stop - size), size) + np.arange(total)], size
+
+
+def string_array(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The strings between consecutive byte positions `cuts` of `data`, without copying."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int64)), pa.py_buffer(data)])
