@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from retainer.llm.bpe_sql import bpe_round_trip
+from retainer.llm.crf_langid import language_id
 from retainer.llm.minhash_odd import near_duplicates
 from retainer.llm.packing import pack
+from retainer.llm.suffix_dedup import remove_repeats
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(_documents(spark, sf_dir))
 
 
+def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(_documents(spark, sf_dir), folds=4, held_out=2)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_documents(spark, sf_dir), length=50)
+
+
 def op8_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -27,6 +37,8 @@ def op10_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
+    "op2_crf_language": (op2_crf_language, None),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op8_bounded_packing": (op8_bounded_packing, None),
     "op10_odd_sketch": (op10_odd_sketch, None),
 }

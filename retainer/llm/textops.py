@@ -25,7 +25,7 @@ IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POW, _IPOW
     if len(_POW) < n:
         size = 1 << (n - 1).bit_length()
@@ -85,7 +85,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """Prefix sums for `span_hash`."""
-    power, _ = _powers(len(data) + 1)
+    power, _ = powers(len(data) + 1)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=out[1:])
     return out
@@ -93,7 +93,7 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span; equal bytes have equal hashes wherever they stand."""
-    _, inverse = _powers(len(prefix))
+    _, inverse = powers(len(prefix))
     return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
