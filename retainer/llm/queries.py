@@ -8,6 +8,7 @@ from retainer.llm.bpe_sql import bpe_round_trip
 from retainer.llm.crf_langid import language_id
 from retainer.llm.minhash_odd import near_duplicates
 from retainer.llm.packing import pack
+from retainer.llm.ppm import score
 from retainer.llm.suffix_dedup import remove_repeats
 
 
@@ -27,6 +28,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), length=50)
 
 
+def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(_documents(spark, sf_dir), folds=7, held_out=2)
+
+
 def op8_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -39,6 +44,7 @@ REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_crf_language": (op2_crf_language, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op6_ppm_score": (op6_ppm_score, None),
     "op8_bounded_packing": (op8_bounded_packing, None),
     "op10_odd_sketch": (op10_odd_sketch, None),
 }
