@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retainer.llm.bpe_sql import bpe_round_trip
 from retainer.llm.crf_langid import language_id
+from retainer.llm import fixity
+from retainer.llm.hilbert import shard
 from retainer.llm.minhash_odd import near_duplicates
 from retainer.llm.packing import pack
 from retainer.llm.ppm import score
@@ -24,10 +26,18 @@ def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(_documents(spark, sf_dir), folds=4, held_out=2)
 
 
+def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixity.fixity_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_documents(spark, sf_dir), length=50)
 
 
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_documents(spark, sf_dir), shards=16)
+
+
 def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir), folds=7, held_out=2)
 
@@ -43,7 +53,9 @@ def op10_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_crf_language": (op2_crf_language, None),
+    "op3_merkle_fixity": (op3_merkle_fixity, fixity.ORACLE_SQL),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
+    "op5_hilbert_shards": (op5_hilbert_shards, None),
     "op6_ppm_score": (op6_ppm_score, None),
     "op8_bounded_packing": (op8_bounded_packing, None),
     "op10_odd_sketch": (op10_odd_sketch, None),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -28,6 +28,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def positions(df: DataFrame, *order: Column, name: str = "positions") -> DataFrame:
+    """`df` with its exact 0-based position in the total order `order`.
+
+    Rows are range-partitioned and sorted once and written; a row's position is its place in its
+    partition plus the sizes of the partitions before it (one row per partition).  As the written rows
+    carry both numbers, the result does not depend on how ranges were sampled.
+    """
+    wide = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("_at", F.monotonically_increasing_id()), name)
+    part = F.shiftright("_at", 33)
+    sizes = wide.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
+    return (wide.withColumn("_part", part).join(F.broadcast(before), "_part")
+            .withColumn("position", F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1))
+            .drop("_at", "_part", "_before"))
+
+
 def only(df: DataFrame, *cols: str) -> DataFrame:
     """The named columns; names are matched exactly, so clashing extra columns do not matter."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
