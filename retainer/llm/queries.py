@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from retainer.llm.bpe_sql import bpe_round_trip
 from retainer.llm.crf_langid import language_id
-from retainer.llm import fixity
+from retainer.llm.cross_polytope import nearest
+from retainer.llm import fixity, hnsw
 from retainer.llm.hilbert import shard
 from retainer.llm.minhash_odd import near_duplicates
 from retainer.llm.packing import pack
@@ -42,6 +43,15 @@ def op6_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(_documents(spark, sf_dir), folds=7, held_out=2)
 
 
+def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+def op9_hnsw_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), least=0.95)
+
+
 def op8_bounded_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir))
 
@@ -57,6 +67,8 @@ REGISTRY = {
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_hilbert_shards": (op5_hilbert_shards, None),
     "op6_ppm_score": (op6_ppm_score, None),
+    "op7_cross_polytope": (op7_cross_polytope, None),
     "op8_bounded_packing": (op8_bounded_packing, None),
+    "op9_hnsw_components": (op9_hnsw_components, None),
     "op10_odd_sketch": (op10_odd_sketch, None),
 }
