@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retainer.llm.textops import LOWER, chunks, mix, prefix_hash, span_hash, string_array
 from retainer.llm.workspace import only, remainder
@@ -271,29 +272,29 @@ def fit(docs: DataFrame, train_rows: int = 1200, train_max_bytes: int = 65536) -
     return Crf(sorted({r["lang"] for r in picked})).fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
-def _label(model: Crf):
+def _label(model: Crf, names: tuple[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = np.array(model.labels or [UNKNOWN], object)
+        labels = np.array(model.labels or [UNKNOWN], object)
         for batch in batches:
             text = batch.column("text")
             pred, score = np.full(len(text), UNKNOWN, object), np.zeros(len(text))
             if model.labels:
                 for i, data, offsets in chunks(text, 4 << 20):
                     share = model.predict(data, offsets)
-                    pred[i : i + len(share)] = names[share.argmax(axis=1)]
+                    pred[i : i + len(share)] = labels[share.argmax(axis=1)]
                     score[i : i + len(share)] = share.max(axis=1)
                 none = ~np.asarray(pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False))
                 pred[none], score[none] = UNKNOWN, 0.0
-            out = [*batch.columns[: batch.num_columns], pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))]
-            yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.clip(score, 0, 1))],
+                                             names=[*batch.schema.names, *names])
 
     return run
 
 
-def identify(docs: DataFrame, model: Crf) -> DataFrame:
-    """`docs` (any columns, among them text) with lang_pred and score."""
-    return docs.mapInArrow(_label(model),
-                           docs.schema.add("lang_pred", "string").add("score", "double"))
+def identify(docs: DataFrame, model: Crf, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` (any columns, among them text) with the predicted language and its score, called `names`."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(_label(model, names), schema)
 
 
 def language_id(docs: DataFrame, folds: int = 4, held_out: int = 2, **bounds) -> DataFrame:
