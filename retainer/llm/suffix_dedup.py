@@ -9,8 +9,8 @@ can match at all:
    suffixes), so only windows whose anchor occurs in two documents can match.  Consecutive windows with
    one anchor form a run; anchors are exchanged as packed 32-bit hashes.
 2. Runs with such anchors are dealt by anchor, distinct strings once per group of documents.  An anchor
-   found in many groups is hot: its windows are dealt singly, by their own hash.
-3. Per deal the distinct runs are concatenated and suffix-sorted by the difference-cover algorithm (sort
+   with more than `hot_runs` different runs is hot: its windows are dealt singly, by their own hash.
+3. Per deal, in batches of whole anchors, the distinct runs are concatenated and suffix-sorted by the difference-cover algorithm (sort
    the triples at positions 1 and 2 mod 3, recurse on their names until names span `length` bytes, place
    the remaining suffixes by their first symbol and the rank that follows, merge).  Neighbours in the order
    whose first `length` bytes agree form classes; a class's smallest doc_id decides.
@@ -33,9 +33,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from retainer.llm.textops import chunks, mix, powers, prefix_hash, span_hash
-from retainer.llm.workspace import only
 
 GRAM = 20
 _PLACE = np.uint64((1 << 24) - 1)
@@ -156,11 +156,45 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     return result
 
 
+def anchors_of(texts: np.ndarray, ends: np.ndarray, length: int, block: int = 1 << 18) -> np.ndarray:
+    """The anchor hash of each run (bytes up to `ends`)."""
+    out, a = np.empty(len(ends), np.uint64), 0
+    while a < len(ends):
+        begin = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, begin + block, "right")))
+        out[a:b] = runs_of(texts[begin : ends[b - 1]], np.append(begin, ends[a:b]) - begin, length).anchor
+        a = b
+    return out
+
+
+def earliest_in_batches(texts: np.ndarray, ends: np.ndarray, docs: np.ndarray, length: int, batch: int = 1 << 20) -> np.ndarray:
+    """`earliest` of any number of runs, sorted in batches of whole anchors of about `batch` bytes."""
+    anchors = anchors_of(texts, ends, length)
+    order = np.argsort(anchors, kind="stable")
+    size = np.diff(ends, prepend=0)
+    grown = np.cumsum(size[order])
+    bits, a = np.zeros(len(docs), np.uint64), 0
+    while a < len(order):
+        b = int(np.searchsorted(grown, (grown[a - 1] if a else 0) + batch, "right"))
+        b = int(np.searchsorted(anchors[order], anchors[order[min(b, len(order) - 1)]], "left"))
+        if b <= a:  # one anchor fills the batch
+            b = int(np.searchsorted(anchors[order], anchors[order[a]], "right"))
+        elif grown[-1] - (grown[a - 1] if a else 0) <= batch:
+            b = len(order)
+        part = order[a:b]
+        each = size[part]
+        stop = np.cumsum(each)
+        source = np.repeat(ends[part] - stop, each) + np.arange(int(stop[-1]))
+        bits[part] = earliest(texts[source], stop, docs[part], anchors[part], length)
+        a = b
+    return bits
+
+
 def earliest(texts: np.ndarray, ends: np.ndarray, docs: np.ndarray, anchors: np.ndarray, length: int) -> np.ndarray:
     """For each run (bytes up to `ends`, its document, its anchor) bits: window j occurs in an earlier document."""
     begin = np.concatenate([[0], ends[:-1]])
     count = ends - begin - length + 1
-    identity = span_hash(prefix_hash(texts), begin, ends) ^ mix(anchors)
+    identity = _hash_in_blocks(texts, begin, ends) ^ mix(anchors)
     order = np.lexsort((docs, identity))
     fresh = np.append(True, identity[order][1:] != identity[order][:-1])
     which = np.empty(len(docs), np.int64)
@@ -221,7 +255,6 @@ class Sent:
     text: np.ndarray
     ends: np.ndarray
     docs: np.ndarray
-    anchors: np.ndarray
     part: np.ndarray
     start: np.ndarray  # global window of each waiting run or window
     count: np.ndarray
@@ -235,6 +268,7 @@ class Group:
     def __init__(self, rows: pa.Table, length: int):
         self.length = length
         rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        self.rows = rows
         self.ids = rows["doc_id"].to_numpy(zero_copy_only=False)
         parts = [(i, d, o, runs_of(d, o, length)) for i, d, o in chunks(rows["text"], 256 << 10)]
         shift = np.concatenate([[0], np.cumsum([len(d) for _, d, _, _ in parts])]).astype(np.int64)
@@ -245,15 +279,18 @@ class Group:
         self.count = np.concatenate([r.count for *_, r in parts] or [np.zeros(0, np.int64)])
         self.anchor = np.concatenate([r.anchor for *_, r in parts] or [np.zeros(0, np.uint64)])
 
-    def asked(self) -> np.ndarray:
-        """Anchor hashes, sorted: once for an anchor of one document, twice for one of several."""
-        order = np.lexsort((self.row, self.anchor))
-        a, d = self.anchor[order], self.ids[self.row[order]]
-        head = np.flatnonzero(np.append(True, a[1:] != a[:-1])) if len(a) else np.zeros(0, np.int64)
-        if not len(head):
-            return a
+    def asked(self) -> tuple[np.ndarray, np.ndarray]:
+        """Anchor hashes, sorted, and for each twice its number of distinct runs here (up to 127), plus one if several documents have it."""
+        whole = _hash_in_blocks(self.data, self.start, self.start + self.count + self.length - 1)
+        order = np.lexsort((whole, self.anchor))
+        a, d, w = self.anchor[order], self.ids[self.row[order]], whole[order]
+        if not len(a):
+            return a, np.zeros(0, np.uint8)
+        fresh = np.append(True, a[1:] != a[:-1])
+        head = np.flatnonzero(fresh)
+        runs = np.add.reduceat(fresh | np.append(True, w[1:] != w[:-1]), head)
         several = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
-        return np.repeat(a[head], 1 + several)
+        return a[head], (2 * np.minimum(runs, 127) + several).astype(np.uint8)
 
     def send(self, shared: np.ndarray, hot: np.ndarray, parts: int) -> Sent:
         """Runs whose anchors are `shared`; those of `hot` anchors as single windows."""
@@ -280,7 +317,7 @@ class Group:
         size = count[chosen] + self.length - 1
         ends = np.cumsum(size)
         source = np.repeat(start[chosen] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        return Sent(self.data[source], ends, self.ids[row[chosen]], key[chosen], part[sort], start, count, row, place[which])
+        return Sent(self.data[source], ends, self.ids[row[chosen]], part[sort], start, count, row, place[which])
 
     def covered(self, sent: Sent, bits: np.ndarray) -> np.ndarray:
         """Which bytes go."""
@@ -314,18 +351,21 @@ def _blobs(part: np.ndarray, group: int, columns: dict[str, np.ndarray], text: n
     for name, values in columns.items():
         out[name] = pa.array([values[a:b].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary())
     if text is not None:
-        out["text"] = pa.array([text[(ends[a - 1] if a else 0) : ends[b - 1]].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary())
+        out["text"] = pa.array([pa.compress(text[(ends[a - 1] if a else 0) : ends[b - 1]].tobytes(), codec="zstd", asbytes=True)
+                                for a, b in zip(head, tail, strict=True)], pa.binary())
     return out
 
 
 def _ask(length: int, parts: int):
     def run(rows: pa.Table) -> pa.Table:
-        hashes = Group(rows, length).asked()
-        part = (mix(hashes >> np.uint64(24)) % np.uint64(parts)).astype(np.int64)
+        hashes, flags = Group(rows, length).asked()
+        hashes = hashes >> np.uint64(24)  # 40 bits: a chance meeting costs work, not results
+        part = (mix(hashes) % np.uint64(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        return pa.table(_blobs(part[order], rows["g"][0].as_py(), {"hashes": (hashes >> np.uint64(24))[order].astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :5]}))
+        five = hashes[order].view(np.uint8).reshape(-1, 8)[:, :5]
+        return pa.table(_blobs(part[order], rows["g"][0].as_py(), {"hashes": five, "flags": flags[order]}))
 
-    return run, "part int, g int, hashes binary"
+    return run, "part int, g int, hashes binary, flags binary"
 
 
 def _unpack5(raw: bytes) -> np.ndarray:
@@ -333,15 +373,18 @@ def _unpack5(raw: bytes) -> np.ndarray:
     return np.concatenate([five, np.zeros((len(five), 3), np.uint8)], axis=1).view(np.uint64).ravel()
 
 
-def _tell(hot_groups: int):
+def _tell(hot_runs: int):
     def run(rows: pa.Table) -> pa.Table:
         lists = [_unpack5(x) for x in rows["hashes"].to_pylist()]
-        value, n = np.unique(np.concatenate(lists), return_counts=True)
-        known, hot = value[n > 1], value[n > hot_groups]
-        own = [np.unique(x) for x in lists]
+        flags = _joined(rows["flags"], np.uint8).astype(np.int64)
+        value, at, n = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        several = (n > 1) | (np.bincount(at, flags & 1, minlength=len(value)) > 0)
+        hot = several & (np.bincount(at, flags >> 1, minlength=len(value)) > hot_runs)
+        stop = np.cumsum([len(x) for x in lists])
+        places = [at[b - len(x) : b] for x, b in zip(lists, stop, strict=True)]
         return pa.table({"g": rows["g"],
-                         "shared": pa.array([x[np.isin(x, known)].tobytes() for x in own], pa.binary()),
-                         "hot": pa.array([x[np.isin(x, hot)].tobytes() for x in own], pa.binary())})
+                         "shared": pa.array([x[several[p]].tobytes() for x, p in zip(lists, places, strict=True)], pa.binary()),
+                         "hot": pa.array([x[hot[p]].tobytes() for x, p in zip(lists, places, strict=True)], pa.binary())})
 
     return run, "g int, shared binary, hot binary"
 
@@ -352,37 +395,45 @@ def _joined(column: pa.ChunkedArray, kind) -> np.ndarray:
 
 def _send(length: int, parts: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        empty = pa.table({"part": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("docs", "anchors", "sizes", "text")}})
+        empty = pa.table({"part": pa.array([], pa.int32()), "g": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("docs", "sizes", "text")}})
         if not len(rows) or not len(answers):
             return empty
         sent = Group(rows, length).send(_joined(answers["shared"], np.uint64), _joined(answers["hot"], np.uint64), parts)
         if not len(sent.docs):
             return empty
-        size = np.diff(sent.ends, prepend=0).astype(np.int32)
-        return pa.table(_blobs(sent.part, rows["g"][0].as_py(), {"docs": sent.docs.astype(np.int64), "anchors": sent.anchors, "sizes": size}, sent.text, sent.ends))
+        size = np.diff(sent.ends, prepend=0).astype(np.uint8)
+        return pa.table(_blobs(sent.part, rows["g"][0].as_py(), {"docs": sent.docs.astype(np.int64), "sizes": size}, sent.text, sent.ends))
 
-    return run, "part int, g int, docs binary, anchors binary, sizes binary, text binary"
+    return run, "part int, g int, docs binary, sizes binary, text binary"
 
 
 def _sort(length: int):
     def run(rows: pa.Table) -> pa.Table:
-        docs, anchors = _joined(rows["docs"], np.int64), _joined(rows["anchors"], np.uint64)
-        size = _joined(rows["sizes"], np.int32).astype(np.int64)
-        bits = earliest(_joined(rows["text"], np.uint8), np.cumsum(size), docs, anchors, length).astype(np.uint32)
-        many = np.cumsum([len(x) // 8 for x in rows["docs"].to_pylist()])
+        docs, sizes = _joined(rows["docs"], np.int64), [np.frombuffer(x, np.uint8).astype(np.int64) for x in rows["sizes"].to_pylist()]
+        texts = b"".join(pa.decompress(x, int(n.sum()), codec="zstd", asbytes=True) for x, n in zip(rows["text"].to_pylist(), sizes, strict=True))
+        bits = earliest_in_batches(np.frombuffer(texts, np.uint8), np.cumsum(np.concatenate(sizes)), docs, length).astype(np.uint32)
+        many = np.cumsum([len(x) for x in sizes])
         return pa.table({"g": rows["g"], "part": rows["part"],
                          "bits": pa.array([bits[a:b].tobytes() for a, b in zip(np.append(0, many[:-1]), many, strict=True)], pa.binary())})
 
     return run, "g int, part int, bits binary"
 
 
-def _cut(length: int, parts: int, with_text: bool):
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+_FACTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
+                       T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+
+def _facts(doc: int | None, raw: np.ndarray, gone: np.ndarray) -> tuple:
+    kept = raw[~gone].tobytes()
+    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + (len(gone) > 0 and bool(gone[0]))
+    return doc, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")
 
+
+def _cut(length: int, parts: int, names: list[str]):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
-            return pa.table({n: pa.array([], k) for n, k in zip(names, kinds, strict=False)})
+            return pa.table({n: pa.array([], k) for n, k in zip(names, [*_KINDS[: min(len(names), 6)], *(rows.schema.field(n).type for n in names[6:])], strict=True)})
         group = Group(rows, length)
         gone = np.zeros(len(group.data), bool)
         if len(answers):
@@ -390,45 +441,48 @@ def _cut(length: int, parts: int, with_text: bool):
             told = answers.filter(pc.is_valid(answers["bits"])).sort_by("part")
             if len(told):
                 gone = group.covered(sent, _joined(told["bits"], np.uint32).astype(np.uint64))
-        out: list[tuple] = []
-        for i, doc in enumerate(group.ids):
-            a, b = group.offsets[i], group.offsets[i + 1]
-            g = gone[a:b]
-            kept = group.data[a:b][~g].tobytes()
-            out.append((int(doc), int(b - a), int(g.sum()), int(np.count_nonzero(g[1:] & ~g[:-1]) + (len(g) > 0 and bool(g[0]))),
-                        hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)][: len(names)], names=names)
+        o = group.offsets
+        out = [_facts(int(d), group.data[o[i] : o[i + 1]], gone[o[i] : o[i + 1]]) for i, d in enumerate(group.ids)]
+        cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)]
+        return pa.table([*cols[: len(names)], *(group.rows[n] for n in names[6:])], names=names)
 
-    return run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * with_text
+    return run
 
 
-def _untouched(with_text: bool):
+def _untouched(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(0).to_pylist()]
-            cols = [pa.array([None] * len(texts), pa.int64()), pa.array([len(x.encode()) for x in texts], pa.int64()),
-                    *[pa.array([0] * len(texts), pa.int64())] * 2, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in texts], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(texts)] * with_text,
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text)
+            raw = [np.frombuffer((x or "").encode(), np.uint8) for x in batch.column(0).to_pylist()]
+            out = [_facts(None, x, np.zeros(len(x), bool)) for x in raw]
+            if out:
+                cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), _KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols[: len(names)], *(batch.column(n) for n in names[6:])], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, group_bytes: int = 4 << 20, hot_groups: int = 64, with_text: bool = False) -> DataFrame:
-    """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text).
+def remove_repeats(docs: DataFrame, length: int = 50, group_bytes: int = 4 << 20, hot_runs: int = 100_000, with_rows: bool = False) -> DataFrame:
+    """Per row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
-    `kept_text` drops the bytes of characters that a cut has split.
+    `with_rows` adds kept_text, which drops the bytes of characters that a cut has split, and the struct
+    `row` with the other columns of `docs`.
     """
     if not GRAM < length < GRAM + 32:
         raise ValueError("length must leave 1 to 31 places for the anchor")
-    source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+                         *([F.struct(*others).alias("row")] if with_rows else []))
+    schema = _FACTS
+    if with_rows:
+        schema = T.StructType([*_FACTS.fields, T.StructField("kept_text", T.StringType()), source.schema["row"]])
+    names = schema.fieldNames()
     known = source.filter("doc_id is not null")
     total = known.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     groups = max(8, -(-int(total) // group_bytes))
-    parts = max(8, groups // 4)
+    parts = max(8, groups // 2)
     grouped = known.withColumn("g", F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int"))
     ask, ask_schema = _ask(length, parts)
-    tell, tell_schema = _tell(hot_groups)
+    tell, tell_schema = _tell(hot_runs)
     answers = grouped.groupBy("g").applyInArrow(ask, ask_schema).groupBy("part").applyInArrow(tell, tell_schema)
     send, send_schema = _send(length, groups)
     order, order_schema = _sort(length)
@@ -437,7 +491,6 @@ def remove_repeats(docs: DataFrame, length: int = 50, group_bytes: int = 4 << 20
     none = F.lit(None)
     both = (answers.select("g", none.cast("int").alias("part"), none.cast("binary").alias("bits"), "shared", "hot")
             .unionByName(bits.select("g", "part", "bits", F.lit(b"").alias("shared"), F.lit(b"").alias("hot"))))
-    cut, cut_schema = _cut(length, groups, with_text)
-    done = grouped.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(cut, cut_schema)
-    rest = source.filter("doc_id is null").select("text").mapInArrow(_untouched(with_text), cut_schema)
+    done = grouped.groupBy("g").cogroup(both.groupBy("g")).applyInArrow(_cut(length, groups, names), schema)
+    rest = source.filter("doc_id is null").drop("doc_id").mapInArrow(_untouched(names), schema)
     return done.unionByName(rest)
