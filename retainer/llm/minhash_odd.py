@@ -12,8 +12,9 @@ Work is kept linear in a group's size:
 * documents with equal sets are one class, represented by the smallest doc_id;
 * round 1 compares each representative with one pivot, the best by sketch among the
   smallest members of its buckets;
-* round 2 looks only at buckets that still hold several components and compares the
-  members outside a bucket's largest component with the others.
+* round 2 looks only at buckets that still hold several components.  Buckets that overlap form
+  an area; in each area the members outside its largest component are compared with all others, in blocks of
+  bounded size, nearest sketches first, and not at all once their components are linked.  Only links leave a block.
 
 A pair that shares a bucket and passes the sketch is thus either compared on full sets or
 already connected.  Defaults: a pair at exactly 0.8 shares none of 32 bands of 5 rows with
@@ -134,10 +135,10 @@ def _sets_of(words: int):
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))],
-                    names=["doc_id", "members"])
+                    [ids.slice(i, len(sets)), batch.column(2).slice(i, len(sets)),
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "pivot", "members"])
 
-    return run, "doc_id long, members array<long>"
+    return run, "doc_id long, pivot boolean, members array<long>"
 
 
 def _differing(a: str, b: str) -> Column:
@@ -145,22 +146,81 @@ def _differing(a: str, b: str) -> Column:
                F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of `pairs` (u, v) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-    run, schema = _sets_of(words)
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-                       .mapInArrow(run, schema), "odd-sets")
-    a = sets.select(F.col("doc_id").alias("u"), F.col("members").alias("su"))
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of `pairs` (u: a pivot, v) whose full sets are similar enough."""
+    a = sets.filter("pivot").select(F.col("doc_id").alias("u"), F.col("members").alias("su"))
     b = sets.select(F.col("doc_id").alias("v"), F.col("members").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
-    return (pairs.join(a, "u").join(b, "v").withColumn("both", both)
+    return (pairs.join(b, "v").join(a, "u").withColumn("both", both)
             .filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("su") + F.size("sv") - F.col("both")))
             .select("u", "v"))
 
 
+def _block_links(percent: int, most: int):
+    """Links between the rows of side 0 and side 1 that join components; each pair of components is linked once."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        side = rows["side"].to_numpy()
+        docs, component = rows["doc"].to_numpy(), rows["c"].to_numpy()
+        sketch = np.array(rows["sketch"].to_pylist(), np.int64).reshape(len(rows), -1).view(np.uint64)
+        lists = rows["members"].combine_chunks()
+        lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+        flat, ends = lists.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        sets = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        size = np.diff(ends)
+        parent = {int(c): int(c) for c in component}
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        right, out = np.flatnonzero(side == 1), []
+        for i in np.flatnonzero(side == 0):
+            differing = np.bitwise_count(sketch[right] ^ sketch[i]).sum(axis=1)
+            near = (differing <= most) & (component[right] != component[i])
+            near &= 100 * np.minimum(size[right], size[i]) >= percent * np.maximum(size[right], size[i])
+            for j in right[near][np.argsort(differing[near], kind="stable")]:
+                x, y = root(int(component[i])), root(int(component[j]))
+                if x == y:
+                    continue
+                at = np.searchsorted(sets[j], sets[i])
+                both = np.count_nonzero(sets[j][np.minimum(at, size[j] - 1)] == sets[i])
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(min(docs[i], docs[j])), int(max(docs[i], docs[j]))))
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return run, "u long, v long"
+
+
+def _rest(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, most: int, block: int) -> DataFrame:
+    """Links between components that share a bucket, in blocks of at most about `block` documents a side."""
+    sizes = placed.groupBy("key", "c").agg(F.min("doc").alias("lo"))
+    several = sizes.groupBy("key").agg(F.min("lo").alias("lo"), F.count("*").alias("parts")).filter("parts > 1")
+    open_ = materialize(placed.join(several.select("key", "lo"), "key").select("doc", "c", "lo").distinct(), "odd-open")
+    areas = components(open_.select(F.col("doc").alias("u"), F.col("lo").alias("v")))
+    members = materialize(open_.select("doc", "c").distinct().join(areas, F.col("doc") == F.col("node"))
+                          .select("doc", "c", F.col("component").alias("area")), "odd-members")
+    counts = members.groupBy("area", "c").agg(F.count("*").alias("n"))
+    area = (counts.groupBy("area").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
+            .select("area", F.col("m.c").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / block).cast("int").alias("nl"),
+                    F.ceil(F.col("n") / block).cast("int").alias("nr")).filter("nl > 0"))
+    full = (members.join(area, "area").join(sketches, "doc")
+            .join(sets.select(F.col("doc_id").alias("doc"), "members"), "doc"))
+    columns = ["area", "doc", "c", "sketch", "members"]
+    place = F.xxhash64("doc")
+    left = full.filter("c <> main").select(*columns, F.lit(0).alias("side"), F.pmod(place, F.col("nl")).cast("int").alias("li"),
+                                           F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("rj"))
+    right = full.select(*columns, F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("li"),
+                        F.pmod(place, F.col("nr")).cast("int").alias("rj")).select(left.columns)
+    run, schema = _block_links(percent, most)
+    return left.union(right).groupBy("area", "li", "rj").applyInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bands: int = 32, rows: int = 5,
-                    slack: float = 0.24) -> DataFrame:
+                    slack: float = 0.24, block: int = 1024) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept."""
     k = bands * rows
     most = most_differing(k, max(0.0, percent / 100 - slack))
@@ -174,6 +234,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bands: i
     member = classes.select("doc", F.explode("keys").alias("key"))
     shared = member.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1 and pivot is not null")
     buckets = materialize(member.join(shared.select("key", "pivot"), "key").select("key", "doc", "pivot"), "odd-buckets")
+    run, schema = _sets_of(words)
+    wanted = buckets.groupBy("doc").agg(F.max(F.col("doc") == F.col("pivot")).alias("pivot")).withColumnRenamed("doc", "doc_id")
+    sets = materialize(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "pivot")
+                       .mapInArrow(run, schema), "odd-sets")
     sketches = classes.select("doc", "sketch")
     stars = buckets.filter("doc <> pivot").select("doc", "pivot").distinct()
     best = (stars.join(sketches, "doc")
@@ -181,23 +245,12 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bands: i
             .withColumn("d", _differing("sketch", "other")).filter(F.col("d") <= most)
             .groupBy("doc").agg(F.min(F.struct("d", "pivot")).alias("b"))
             .select(F.col("b.pivot").alias("u"), F.col("doc").alias("v")))
-    tried = materialize(best, "odd-tried")
-    first = materialize(_verified(tried, texts, words, percent), "odd-links")
+    first = materialize(_verified(best, sets, percent), "odd-links")
     joined = components(first)
     placed = materialize(
         buckets.join(joined, buckets.doc == joined.node, "left")
         .select("key", "doc", F.coalesce("component", "doc").alias("c")), "odd-placed")
-    sizes = placed.groupBy("key", "c").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = (placed.join(main.select("key", F.col("m.c").alias("main")), "key")
-             .join(sketches, "doc").select("key", "doc", "c", "main", "sketch"))
-    left = open_.filter("c <> main").select("key", F.col("doc").alias("d1"), F.col("c").alias("c1"), F.col("sketch").alias("s1"))
-    right = open_.select("key", F.col("doc").alias("d2"), F.col("c").alias("c2"), F.col("main").alias("main2"), F.col("sketch").alias("s2"))
-    more = (left.join(right, "key").filter("c1 <> c2 and (c2 = main2 or d1 < d2)")
-            .filter(_differing("s1", "s2") <= most)
-            .select(F.least("d1", "d2").alias("u"), F.greatest("d1", "d2").alias("v")).distinct()
-            .join(tried, ["u", "v"], "left_anti"))
-    second = _verified(materialize(more, "odd-more"), texts, words, percent)
+    second = _rest(placed, sketches, sets, percent, most, block)
     linked = components(materialize(first.union(second), "odd-links"))
     placed_class = (classes.select("digest", "doc").join(linked, F.col("doc") == F.col("node"), "left")
                     .select("digest", F.coalesce("component", "doc").alias("c")))
