@@ -147,7 +147,8 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         pair = s[:-1] * top + s[1:]
         small = np.unique(pair, return_inverse=True)[1].astype(np.int64)
         before += np.searchsorted(small[two] * wide + rank[two + 2], small[zero] * wide + rank[zero + 2], "left")
-    slot = before + np.arange(len(zero))
+    # ranks tie beyond the depth, so insertion points may cross within a tie; any order of a tie will do
+    slot = np.maximum.accumulate(before) + np.arange(len(zero))
     result = np.empty(n, np.int64)
     taken = np.zeros(n, bool)
     taken[slot] = True

@@ -216,6 +216,15 @@ def test_suffix_order_is_that_of_the_suffixes():
         s = rng.integers(1, k + 1, n)
         raw = bytes(s.astype(np.uint8))
         assert suffix_order(s, 12).tolist() == sorted(range(n), key=lambda i: raw[i:])
+    for seed in range(40):  # to a depth only: long repeats tie
+        rng = np.random.default_rng(seed)
+        part = rng.integers(1, 4, rng.integers(20, 300))
+        s = np.concatenate([part[rng.integers(0, 20) :] for _ in range(30)])
+        raw = bytes(s.astype(np.uint8))
+        for depth in (1, 2, 4):
+            order = suffix_order(s, depth)
+            heads = [raw[i : i + 3**depth] for i in order]
+            assert sorted(order) == list(range(len(s))) and heads == sorted(heads)
 
 
 # operator 5 ---------------------------------------------------------------------------------------
