@@ -21,11 +21,6 @@ def row_scalars(one_row) -> dict[str, Column]:
     return {c: s.getField(c) for c in one_row.columns}
 
 
-def col_or(name: str, columns, default) -> Column:
-    """``name`` when the frame has it, else the literal default."""
-    return F.col(name) if name in columns else F.lit(default)
-
-
 # -- B5 ratio features ------------------------------------------------------
 
 def ratio_columns() -> dict[str, Column]:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from retainer import schema as S
 from retainer.functions import columns as C
-from retainer.operators.stats import exact_quantiles
+from retainer.operators.stats import attach, exact_quantiles
+from retainer.session import written
 
 R6 = C.bround6
 
@@ -108,7 +109,8 @@ def segment_density(df: DataFrame, features: Sequence[str] = ("Age", "Balance",
         F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
         F.stddev_samp("x").alias("sd"))
     b = C.equal_width_bucket(F.col("x"), F.col("lo"), F.col("hi"), bins)
-    binned = (long.join(stats, ["segment", "feature"])   # stats: segments x features rows
+    stats = written(stats, "density-stats")              # segments x features rows
+    binned = (attach(long, stats, ["segment", "feature"])
                   .groupBy("segment", "feature", b.alias("b"))
                   .agg(F.count(F.lit(1)).alias("cnt"),
                        F.first("lo").alias("lo"), F.first("hi").alias("hi"))

@@ -43,10 +43,13 @@ def drop_identifiers(df: DataFrame, keep_key: bool = True) -> DataFrame:
 
 # B2 / B3 -------------------------------------------------------------------------
 
-def fit_levels(df: DataFrame, column: str) -> list[str]:
+def fit_levels(df: DataFrame, column: str, max_levels: int = 1000) -> list[str]:
     """Sorted distinct non-null levels of a categorical column (one small
-    distributed ``distinct``; only the level list reaches the driver)."""
-    rows = df.select(column).where(F.col(column).isNotNull()).distinct().collect()
+    distributed ``distinct``).  A column with more than ``max_levels`` is no
+    category to one-hot encode and raises, so the driver never holds more."""
+    rows = df.select(column).where(F.col(column).isNotNull()).distinct().limit(max_levels + 1).collect()
+    if len(rows) > max_levels:
+        raise ValueError(f"{column} has more than {max_levels} levels")
     return sorted(r[0] for r in rows)
 
 
@@ -163,13 +166,16 @@ def drop_invalid_rows(df: DataFrame) -> DataFrame:
 
 # B10 ---------------------------------------------------------------------------------------
 
-def mode_scalar(df: DataFrame, column: str) -> Column:
-    """Most frequent non-null value (smallest on ties) as a scalar subquery.
+def mode_scalars(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Most frequent non-null value (smallest on ties) of each text column.
 
-    Counting is a distributed group-by; only the top-1 row is kept."""
-    top = (df.where(F.col(column).isNotNull()).groupBy(column).count()
-             .orderBy(F.col("count").desc(), F.col(column).asc()).limit(1))
-    return top.select(column).scalar()
+    One group-by over the stacked columns counts all of them; a second
+    aggregate keeps the top value of each, so no column is scanned again."""
+    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in columns]))
+    counts = df.select(stacked.alias("s")).select("s.c", "s.v").where("v is not null").groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    most = counts.groupBy("c").agg(F.max("n").alias("n"))
+    top = counts.join(F.broadcast(most), ["c", "n"]).groupBy("c").agg(F.min("v").alias("v"))   # most: one row per column
+    return C.row_scalars(top.groupBy().pivot("c", list(columns)).agg(F.first("v")))
 
 
 def impute_missing(df: DataFrame, numeric: Sequence[str] | None = None,
@@ -182,8 +188,9 @@ def impute_missing(df: DataFrame, numeric: Sequence[str] | None = None,
     fills = {}
     for c in numeric:
         fills[c] = F.coalesce(F.col(c), med[c].cast(df.schema[c].dataType))
+    modes = mode_scalars(df, categorical) if categorical else {}
     for c in categorical:
-        fills[c] = F.coalesce(F.col(c), mode_scalar(df, c))
+        fills[c] = F.coalesce(F.col(c), modes[c])
     return df.withColumns(fills)
 
 

@@ -3,8 +3,8 @@
 Split and folds are deterministic functions of the row key: a 32-bit hash of
 ``key || seed`` is cut at per-class quantiles, so every class keeps its
 share exactly (to one row) without a window over a whole class.  The cut
-table has one row per class -- bounded by the label cardinality -- and is
-joined to the rows with a broadcast hint on that proven bound.
+table has one row per class; it is counted before it is broadcast
+(``stats.attach``).
 
 SMOTE finds k exact nearest neighbours inside the minority class without
 pairing all points:
@@ -24,14 +24,14 @@ of copies costs one row, not a quadratic block.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retainer.functions import columns as C
-from retainer.operators.stats import exact_quantiles, row_positions
+from retainer.operators.stats import attach, exact_quantiles, row_positions, running_totals
+from retainer.session import written
 
 
 # D2 / D5 ---------------------------------------------------------------------------------------
@@ -42,9 +42,15 @@ def hash_score(key: str | Column, salt: str) -> Column:
     return F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("bigint")
 
 
+def unit_hash(*cols: Column | str) -> Column:
+    """A number in [0, 1) from the 53 high bits of a hash: the same for the same
+    columns on any task layout and after any retry."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
+
+
 def class_cuts(df: DataFrame, label: str, score: str, probs: Sequence[float]) -> DataFrame:
     """Exact per-class quantiles of ``score`` (one row per class)."""
-    return exact_quantiles(df, [label], [score], probs).drop("column", "n")
+    return written(exact_quantiles(df, [label], [score], probs).drop("column", "n"), "class-cuts")
 
 
 def stratified_split(df: DataFrame, label: str = "Exited", key: str = "CustomerId",
@@ -53,7 +59,7 @@ def stratified_split(df: DataFrame, label: str = "Exited", key: str = "CustomerI
     rows (by hash order) to the test side."""
     x = df.withColumn("_h", hash_score(key, str(seed)))
     cuts = class_cuts(x, label, "_h", [1.0 - test_size]).withColumnRenamed("q0", "_cut")
-    j = x.join(F.broadcast(cuts), label, "left")       # one row per class
+    j = attach(x, cuts, [label])
     split = F.when(F.col("_h") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test"))
     return j.withColumn("split", split).drop("_h", "_cut")
 
@@ -64,7 +70,7 @@ def stratified_folds(df: DataFrame, label: str = "Exited", key: str = "CustomerI
     x = df.withColumn("_hf", hash_score(key, f"fold{seed}"))
     probs = [i / n_folds for i in range(1, n_folds)]
     cuts = class_cuts(x, label, "_hf", probs)
-    j = x.join(F.broadcast(cuts), label, "left")       # one row per class
+    j = attach(x, cuts, [label])
     fold = sum((F.when(F.col("_hf") > F.col(f"q{i}"), F.lit(1)).otherwise(F.lit(0))
                 for i in range(len(probs))), F.lit(0))
     return j.withColumn("fold", fold.cast("int")).drop("_hf", *[f"q{i}" for i in range(len(probs))])
@@ -92,34 +98,19 @@ def _dot(a: Column, v: Sequence[float]) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _directions(dim: int, seed: int, n: int) -> list[list[float]]:
-    import random
-
-    rnd = random.Random(seed)
-    out = []
-    for _ in range(n):
-        v = [rnd.gauss(0.0, 1.0) for _ in range(dim)]
-        norm = math.sqrt(sum(c * c for c in v)) or 1.0
-        out.append([c / norm for c in v])
-    return out
-
-
-def _principal_directions(points: DataFrame, dim: int, n: int, seed: int) -> list[list[float]]:
+def _principal_directions(points: DataFrame, dim: int, n: int) -> list[list[float]]:
     """Top-n principal axes (unit vectors) of the vectors; a distributed
-    covariance fit whose result is n x dim numbers.  Falls back to random
-    unit directions when the fit is degenerate."""
+    covariance fit whose result is n x dim numbers.  Vectors without any
+    spread have no principal axis: the coordinate axes serve."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    try:
-        vec = points.select(array_to_vector("_v").alias("features"))
-        pc = PCA(k=min(n, dim), inputCol="features").fit(vec).pc.toArray()
-        dirs = [[float(pc[i, j]) for i in range(dim)] for j in range(pc.shape[1])]
-        if len(dirs) == n and all(math.isfinite(sum(d)) for d in dirs):
-            return dirs
-    except Exception:  # noqa: BLE001 -- constant data etc.
-        pass
-    return _directions(dim, seed, n)
+    spread = points.agg(*[F.max(F.col("_v")[i]) - F.min(F.col("_v")[i]) for i in range(dim)]).first()
+    if dim < n or sum(1 for x in spread if x) < n:
+        return [[float(i == j % dim) for i in range(dim)] for j in range(n)]
+    vec = points.select(array_to_vector("_v").alias("features"))
+    pc = PCA(k=n, inputCol="features").fit(vec).pc.toArray()
+    return [[float(pc[i, j]) for i in range(dim)] for j in range(n)]
 
 
 def _morton(a: Column, b: Column, bits: int = 16) -> Column:
@@ -131,7 +122,7 @@ def _morton(a: Column, b: Column, bits: int = 16) -> Column:
     return code
 
 
-def knn_within(points: DataFrame, k: int, dim: int, seed: int = 42, block: int = 16) -> DataFrame:
+def knn_within(points: DataFrame, k: int, dim: int, block: int = 16) -> DataFrame:
     """Exact k nearest neighbours (Euclidean) among distinct vectors with
     multiplicities.  ``points``: (_id, _v array<double>, _m copies).
     Returns (_id, nbr_rank 1..k, nbr_id, dist); a point's own copies come
@@ -140,7 +131,7 @@ def knn_within(points: DataFrame, k: int, dim: int, seed: int = 42, block: int =
 
     Projections are on the principal axes, so the band join box is tight
     along the directions where the data actually spreads."""
-    dirs = _principal_directions(points, dim, N_PROJ, seed)
+    dirs = _principal_directions(points, dim, N_PROJ)
     p = points.select("_id", "_v", "_m", *[_dot(F.col("_v"), d).alias(f"_p{j}") for j, d in enumerate(dirs)])
     # 1. upper bound r of the k-th distance from blocks of consecutive
     #    positions along a Z-order curve over the first two projections
@@ -167,26 +158,33 @@ def knn_within(points: DataFrame, k: int, dim: int, seed: int = 42, block: int =
     # a little slack so rounding in the projections never drops a true neighbour
     search = (p.where(F.col("_m") - 1 < k).join(radius, "_id")
                .withColumn("_rb", F.col("_r") * F.lit(1 + 1e-9) + F.lit(1e-12)))
-    # 2. exact band join: |p_j(x) - p_j(y)| <= r for every projection j
+    # 2. exact band join: |p_j(x) - p_j(y)| <= r for every projection j.  A point
+    #    with a large r looks in bins of its own, doubled width (its level), so it
+    #    meets at most 3 bins a projection; levels are at most the exponents of a double
     width = search.agg(F.percentile_approx("_r", 0.75).alias("w")).select("w").scalar()
     w = F.greatest(F.coalesce(width, F.lit(1.0)), F.lit(1e-9))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_rb") / w))).cast("int")
+    search = written(search.withColumn("_lv", level).withColumn("_w", w * F.pow(F.lit(2.0), F.col("_lv"))), "knn-search")
+    levels = search.select("_lv", "_w").distinct()
 
     def bins(j: int) -> Column:
         pj = F.col(f"_p{j}")
-        return F.sequence(F.floor((pj - F.col("_rb")) / w).cast("bigint"),
-                          F.floor((pj + F.col("_rb")) / w).cast("bigint"))
+        return F.sequence(F.floor((pj - F.col("_rb")) / F.col("_w")).cast("bigint"),
+                          F.floor((pj + F.col("_rb")) / F.col("_w")).cast("bigint"))
 
-    qx = search.select("_id", "_v", "_r", "_rb", *[f"_p{j}" for j in range(N_PROJ)],
+    qx = search.select("_id", "_v", "_r", "_rb", "_lv", *[f"_p{j}" for j in range(N_PROJ)],
                        *[bins(j).alias(f"_bins{j}") for j in range(N_PROJ)])
     for j in range(N_PROJ):
         qx = qx.withColumn(f"_k{j}", F.explode(f"_bins{j}")).drop(f"_bins{j}")
-    qy = p.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_m").alias("_nm"),
+    by_level = F.sort_array(levels.agg(F.collect_set(F.struct("_lv", "_w")).alias("l")).select("l").scalar())
+    qy = (p.withColumn("_l", F.explode(by_level))
+          .select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_m").alias("_nm"), F.col("_l._lv").alias("_lv"),
                   *[F.col(f"_p{j}").alias(f"_np{j}") for j in range(N_PROJ)],
-                  *[F.floor(F.col(f"_p{j}") / w).cast("bigint").alias(f"_k{j}") for j in range(N_PROJ)])
+                  *[F.floor(F.col(f"_p{j}") / F.col("_l._w")).cast("bigint").alias(f"_k{j}") for j in range(N_PROJ)]))
     near = F.lit(True)
     for j in range(N_PROJ):
         near = near & (F.abs(F.col(f"_p{j}") - F.col(f"_np{j}")) <= F.col("_rb"))
-    pairs = (qx.join(qy, [f"_k{j}" for j in range(N_PROJ)])
+    pairs = (qx.join(qy, ["_lv", *[f"_k{j}" for j in range(N_PROJ)]])
                .where((F.col("_id") != F.col("_nid")) & near)
                .select("_id", "_nid", "_nm", F.sqrt(_dist2(F.col("_v"), F.col("_nv"))).alias("_d"), "_r")
                .where(F.col("_d") <= F.col("_r"))
@@ -215,7 +213,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int
     input rows plus the synthetic ones (other columns NULL, ``synthetic`` 1)."""
     # the input feeds several actions (class counts, k-NN, allocation, the
     # final union): cut its lineage once in the shared checkpoint folder
-    df = df.checkpoint(eager=True) if _has_ckpt(df) else df.persist()
+    df = written(df, "smote-input")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()   # one row per class
     base = df.withColumn("synthetic", F.lit(0))
     if len(counts) < 2:
@@ -231,9 +229,7 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int
     uniq = (df.where(F.col(label) == minority).select(vec.alias("_v"))
               .groupBy("_v").agg(F.count(F.lit(1)).alias("_m")))
     uniq = row_positions(uniq.withColumn("_hv", F.xxhash64("_v")), [F.col("_hv"), F.col("_v")], "_id")
-    uniq = uniq.drop("_hv").checkpoint(eager=True) if _has_ckpt(df) else uniq.cache()
-    from retainer.operators.stats import running_totals
-
+    uniq = written(uniq.drop("_hv"), "smote-points")
     slots = running_totals(uniq.select("_id", "_m"), [], [F.col("_id")], ["_m"], prefix="_cum")
     extra = F.greatest(F.least(F.col("_cum_m"), F.lit(rem)) - (F.col("_cum_m") - F.col("_m")), F.lit(0))
     alloc = slots.select("_id", "_m", (F.col("_m") * F.lit(q) + extra).alias("_c")).where(F.col("_c") > 0)
@@ -245,12 +241,12 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int
         F.lit(1), F.least(F.lit(CHUNK), F.col("_c") - F.col("_chunk") * CHUNK))).alias("_j"), "_chunk")
     salt = F.xxhash64("_id", "_chunk", "_j", F.lit(seed))
     draws = draws.select("_id", "_m", (F.pmod(salt, F.lit(kk)) + 1).cast("int").alias("nbr_rank"),
-                         F.rand(seed).alias("_u"))
+                         unit_hash("_id", "_chunk", "_j", F.lit(seed + 1)).alias("_u"))
     xv = uniq.select("_id", "_v")
     # rows with >= k other copies: every neighbour is a copy, the new row is x itself
     self_only = draws.where(F.col("_m") - 1 >= kk).join(xv, "_id").select(F.col("_v").alias("_x"))
     dim = len(features)
-    nn = knn_within(uniq, kk, dim, seed)
+    nn = knn_within(uniq, kk, dim)
     nbv = nn.join(uniq.select(F.col("_id").alias("nbr_id"), F.col("_v").alias("_nv")), "nbr_id")
     gen = (draws.where(F.col("_m") - 1 < kk)
                 .join(nbv, ["_id", "nbr_rank"]).join(xv, "_id"))
@@ -271,10 +267,6 @@ def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int
     return base.unionByName(synth.select(*cols, F.lit(1).alias("synthetic")), allowMissingColumns=True)
 
 
-def _has_ckpt(df: DataFrame) -> bool:
-    return df.sparkSession.sparkContext.getCheckpointDir() is not None
-
-
 def _float_features(df: DataFrame, features: Sequence[str]) -> set[str]:
     from pyspark.sql import types as T
 

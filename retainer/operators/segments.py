@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from retainer import schema as S
 from retainer.functions import columns as C
 from retainer.operators import features as FE
+from retainer.session import written
 
 R6 = C.bround6
 
@@ -28,7 +29,7 @@ def scaled_vectors(df: DataFrame, cols: Sequence[str] = S.CLUSTER_FEATURES,
 
 # C1 / C2 ------------------------------------------------------------------------------------------
 
-def _fit_best(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 50):
+def _fit_best(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300):
     """KMeans has no n_init: fit once per seed, keep the lowest inertia."""
     from pyspark.ml.clustering import KMeans
 
@@ -44,8 +45,9 @@ def _fit_best(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int =
 
 def elbow_curve(vectors: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10,
                 seed: int = 42) -> DataFrame:
-    """(k, inertia) for each k, best of ``n_init`` seeds.  ``vectors`` should
-    be cached by the caller: every fit iterates over it."""
+    """(k, inertia) for each k, best of ``n_init`` seeds.  The vectors are
+    written once, as every fit iterates over them."""
+    vectors = written(vectors, "elbow-vectors")
     rows = []
     for k in ks:
         cost, _ = _fit_best(vectors, k, [seed + i for i in range(n_init)])
@@ -117,14 +119,13 @@ def pca_projection(vectors: DataFrame, k: int = 2, keep: Sequence[str] = ("Custo
 
 # C6 / C7 live in functions.columns.rule_segment ------------------------------------------------------
 
-def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 3, seed: int = 42) -> DataFrame:
+def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
     """C2 + C3 + C4 end to end: cluster the scaled features, profile the
     clusters, name them; returns CustomerId, CustomerSegment, SegmentName.
 
     The profile columns travel with the vectors, so no join back to the
     customer table is needed; the name table has k rows (broadcast)."""
-    vec = scaled_vectors(df, keep=("CustomerId", "Age", "Balance")).checkpoint(eager=True) \
-        if df.sparkSession.sparkContext.getCheckpointDir() else scaled_vectors(df, keep=("CustomerId", "Age", "Balance"))
+    vec = written(scaled_vectors(df, keep=("CustomerId", "Age", "Balance")), "segment-vectors")
     model = fit_segments(vec, k, n_init, seed)
     labelled = assign_segments(model, vec)
     prof = segment_profile(labelled, "CustomerSegment", ["Age", "Balance"])

@@ -19,6 +19,7 @@ from retainer.operators import models as M
 from retainer.operators import sampling as SM
 from retainer.plans.catalog import register
 from retainer.plans.oracle import q
+from retainer.session import written
 from retainer.sources import tables as TB
 
 MODELS = [("rule_t50", 0.5), ("rule_t30", 0.3)]
@@ -55,8 +56,10 @@ def fold_metrics(spark, d) -> DataFrame:
 
 
 def comparison(spark, d) -> DataFrame:
-    test = EV.metrics_by(test_preds(spark, d), ["model"], "label", "p", "pred")
-    cv = EV.cv_summary(fold_metrics(spark, d))
+    split = written(split_table(spark, d), "evaluation-split")     # scored and split once for test and folds
+    folds = written(SM.stratified_folds(split.where(F.col("split") == "train")), "evaluation-folds")
+    test = EV.metrics_by(with_models(split.where(F.col("split") == "test")), ["model"], "label", "p", "pred")
+    cv = EV.cv_summary(EV.metrics_by(with_models(folds), ["model", "fold"], "label", "p", "pred"))
     order = spark.createDataFrame([(n, i) for i, (n, _) in enumerate(MODELS)], "model string, pos int")
     return EV.comparison_table(test, cv, order)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # settings every session of this library relies on; cluster values win
 _DEFAULTS = {
@@ -42,11 +42,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` when the cluster names one (or a checkpoint
-    folder is already registered); only when both are unset (local tests) a
-    fresh scratch folder is created and registered.
+    folder is already registered).  Only on a local master may it be unset; a
+    fresh scratch folder is then created and registered.  Elsewhere a folder
+    of one machine would lose data, so an unset one raises.
     """
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(path)
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="retainer-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir() or path
@@ -65,3 +68,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: its lineage ends
+    there, and every later use sees the same rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -18,14 +18,23 @@ from retainer import schema as S
 # A1 ---------------------------------------------------------------------------------------
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str | None = None, header: bool = True) -> DataFrame:
-    """CSV (header row) or Parquet/JSON/ORC with an explicit schema."""
+               fmt: str | None = None, header: bool = True, corrupt_column: str | None = None) -> DataFrame:
+    """CSV (header row) or Parquet/JSON/ORC with an explicit schema.
+
+    Every CSV file's header must name the schema's columns in order, else the
+    read fails instead of shifting columns.  ``corrupt_column`` keeps the text
+    of CSV and JSON records that did not parse, so that they can be counted."""
     fmt = fmt or _guess_format(path)
     reader = spark.read
     if schema is not None:
+        if corrupt_column and fmt in ("csv", "json"):
+            schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else T.StructType(schema.fields)
+            schema = T.StructType([*schema.fields, T.StructField(corrupt_column, T.StringType())])
+            reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
         reader = reader.schema(schema)
     if fmt == "csv":
-        return reader.option("header", str(header).lower()).option("mode", "PERMISSIVE").csv(path)
+        return (reader.option("header", str(header).lower()).option("enforceSchema", "false")
+                .option("mode", "PERMISSIVE").csv(path))
     return reader.format(fmt).load(path)
 
 

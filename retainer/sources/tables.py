@@ -108,8 +108,9 @@ def with_defects(df: DataFrame) -> DataFrame:
                    .when(cid % 97 == 0, F.col("Balance") * F.lit(10.0))
                    .otherwise(F.col("Balance")))
     geo = F.when(cid % 53 == 0, F.lit("Unknown")).otherwise(F.col("Geography"))
+    copies = F.when(cid % 101 == 0, F.sequence(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     out = df.withColumn("Balance", bal).withColumn("Geography", geo)
-    return out.unionByName(out.filter(cid % 101 == 0))
+    return out.withColumn("_copy", F.explode(copies)).drop("_copy")
 
 
 def defect_customers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def _skewed(spark, n=3000, seed=7):
 
 def test_exact_quantiles(spark):
     df, rows = _skewed(spark)
-    got = {r.k: r for r in exact_quantiles(df, ["k"], ["v"], [0.1, 0.5, 0.9], partitions=5).collect()}
+    got = {r.k: r for r in exact_quantiles(df, ["k"], ["v"], [0.1, 0.5, 0.9]).collect()}
     for k in {r[1] for r in rows}:
         vals = np.array([r[2] for r in rows if r[1] == k])
         for i, p in enumerate([0.1, 0.5, 0.9]):
@@ -122,3 +122,76 @@ def test_smote_counts_and_segments(spark):
             if ok:
                 break
         assert ok
+
+
+def _many(spark, path, n=300_000):
+    """Many rows in several files, with a column that is no key, a hot value and a null group."""
+    (spark.range(0, n, 1, 4).select("id", F.xxhash64("id").alias("k"), F.when(F.col("id") % 50 > 0, F.col("id") % 50).alias("g"),
+                                    F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.rand(1) * 100).alias("v"), F.lit("x" * 20).alias("junk"))
+     .write.parquet(path))
+    return spark.read.parquet(path)
+
+
+def test_positions_do_not_depend_on_the_partitions(spark, tmp):
+    df = _many(spark, f"{tmp}/rows")
+    for n in (4, 16, 200):
+        for _ in range(2):
+            r = row_positions(df, ["k"], partitions=n).agg(F.count("*"), F.countDistinct("_pos"), F.min("_pos"), F.max("_pos")).first()
+            assert tuple(r) == (300_000, 300_000, 0, 299_999)
+    one = running_totals(df.withColumn("one", F.lit(1)), ["g"], ["k"], ["one"], partitions=16)
+    assert one.count() == 300_000
+    assert one.groupBy("g").agg(F.max("cum_one").alias("m"), F.countDistinct("cum_one").alias("d")).filter("m <> 6000 or d <> 6000").count() == 0
+
+
+def test_quantiles_of_many_rows(spark, tmp):
+    df = _many(spark, f"{tmp}/rows")
+    want = df.agg(*[F.expr(f"percentile(v, {p})") for p in (0.0, 0.25, 0.5, 0.99, 1.0)]).first()
+    got = exact_quantiles(df, [], ["v", "k"], [0.0, 0.25, 0.5, 0.99, 1.0]).where("column = 'v'").first()
+    assert np.allclose([got[f"q{i}"] for i in range(5)], want, rtol=0, atol=1e-9)
+    by = {r.g: r.m for r in df.groupBy("g").agg(F.expr("percentile(v, 0.8)").alias("m")).collect()}
+    assert all(abs(r.q0 - by[r.g]) < 1e-9 for r in exact_quantiles(df, ["g"], ["v"], [0.8]).collect()) and len(by) == 50
+
+
+def test_auc_of_a_continuous_score(spark):
+    from retainer.operators import evaluate as EV
+
+    rng = np.random.default_rng(0)
+    p = rng.random(4000)
+    y = (rng.random(4000) < p).astype(int)
+    df = spark.createDataFrame([(float(a), int(b)) for a, b in zip(p, y)], "p double, label int").repartition(5)
+    order = np.argsort(p)
+    rank = np.empty(4000)
+    rank[order] = np.arange(1, 4001)
+    want = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (4000 - y.sum()))
+    assert abs(EV.roc_auc(df).first()[0] - want) < 1e-6
+
+
+def test_knn_with_many_features_and_an_outlier(spark):
+    rng = np.random.default_rng(8)
+    pts = rng.normal(0, 1, (80, 20))
+    pts[0] = 5000.0
+    pts[1:4] = pts[4]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(pts)], "_id long, _v array<double>, _m long")
+    got = {}
+    for r in SM.knn_within(df, 5, 20).collect():
+        got.setdefault(r._id, []).append((r.nbr_rank, r.dist))
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    for i in range(80):
+        assert np.allclose([x for _, x in sorted(got[i])], np.sort(d[i])[:5])
+
+
+def test_smote_does_not_depend_on_the_partitions(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, int(i < 40), *[float(x) for x in np.round(rng.normal(0, 1, 3), 3)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "CustomerId long, Exited int, a double, b double, c double")
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        made = []
+        for n in (4, 16):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            new = SM.smote(df.repartition(n), ["a", "b", "c"]).where("synthetic = 1").select("a", "b", "c").collect()
+            made.append(sorted(tuple(r) for r in new))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len(made[0]) == 120 and made[0] == made[1]
