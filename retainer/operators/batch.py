@@ -19,6 +19,8 @@ from retainer.operators import features as FE
 from retainer.operators.stats import exact_median, row_positions
 
 R6 = C.bround6
+MODEL_INPUTS = ("CreditScore", "Geography", "Gender", "Age", "Tenure", "Balance", "NumOfProducts",
+                "HasCrCard", "IsActiveMember", "EstimatedSalary")
 
 
 # scorers -------------------------------------------------------------------------------------
@@ -26,25 +28,30 @@ R6 = C.bround6
 class RuleScorer:
     """Deterministic stand-in for a fitted model (1.8 x the additive rule)."""
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("ChurnProbability", C.proxy_probability())
+    def transform(self, df: DataFrame, out: str = "ChurnProbability") -> DataFrame:
+        return df.withColumn(out, C.proxy_probability())
 
 
 class ModelScorer:
-    """Wrap a fitted Spark ML ``PipelineModel`` whose input is the 20 aligned
-    features; adds ``ChurnProbability`` = P(class 1)."""
+    """A fitted ``PipelineModel`` (``models.train_and_compare``) over the raw
+    customer columns; adds P(class 1).  A row with a null input gets a null
+    probability.  The row travels as one struct, so its columns cannot clash with
+    those the pipeline makes."""
 
-    def __init__(self, model, features: Sequence[str] = S.FEATURES):
+    def __init__(self, model, inputs: Sequence[str] = MODEL_INPUTS):
         self.model = model
-        self.features = list(features)
+        self.inputs = list(inputs)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, out: str = "ChurnProbability") -> DataFrame:
         from pyspark.ml.functions import vector_to_array
 
-        aligned = FE.align_features(df, self.features, keep=df.columns)
-        scored = self.model.transform(aligned)
-        p = vector_to_array(F.col("probability"))[1]
-        return scored.select(*df.columns, p.alias("ChurnProbability"))
+        raw = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *self.inputs)
+        scored = self.model.transform(raw)
+        known = F.lit(True)
+        for c in self.inputs:
+            known = known & F.col(f"_row.{c}").isNotNull()
+        p = F.when(known, vector_to_array(F.col("probability"))[1])
+        return scored.select("_row.*", p.alias(out))
 
 
 # A3 ------------------------------------------------------------------------------------------

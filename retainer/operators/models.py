@@ -2,14 +2,16 @@
 ensembles.
 
 Models are Spark ML estimators over one assembled vector column; fitting
-runs on the executors, ``CrossValidator(parallelism=...)`` only submits the
-fits from driver threads.  Grid search uses a fold column produced by
-``sampling.stratified_folds`` so folds are stratified and reproducible.
+runs on the executors, driver threads only submit the fits.  Grid search uses
+a fold column produced by ``sampling.stratified_folds`` so folds are
+stratified and reproducible, and keeps the fold models of the best setting:
+its cross-validated metrics need no further fit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +43,7 @@ def logistic_grid(n_rows: int, full: bool = False):
     from pyspark.ml.tuning import ParamGridBuilder
 
     lr = LogisticRegression(maxIter=1000, standardization=False, featuresCol="features", labelCol="label")
-    cs = [0.01, 0.1, 1.0, 10.0] if full else [0.1, 1.0]
+    cs = [0.1, 1.0, 10.0, 100.0] if full else [1.0, 100.0]
     pens = [0.0, 1.0] if full else [0.0]
     grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n_rows, 1)) for c in cs]) \
                              .addGrid(lr.elasticNetParam, pens).build()
@@ -54,9 +56,9 @@ def forest_grid(full: bool = False, seed: int = 42):
     from pyspark.ml.tuning import ParamGridBuilder
 
     rf = RandomForestClassifier(seed=seed, featuresCol="features", labelCol="label")
-    trees = [100, 200, 300] if full else [50]
-    depth = [10, 20, 30] if full else [5, 10]
-    leaf = [1, 2, 4] if full else [1]
+    trees = [50, 100, 200] if full else [50]
+    depth = [10, 20, 30] if full else [10]
+    leaf = [1, 2, 4] if full else [1, 4]
     grid = ParamGridBuilder().addGrid(rf.numTrees, trees).addGrid(rf.maxDepth, depth) \
                              .addGrid(rf.minInstancesPerNode, leaf).build()
     return rf, grid
@@ -67,8 +69,8 @@ def boosting_grid(full: bool = False, seed: int = 42):
     from pyspark.ml.tuning import ParamGridBuilder
 
     gb = GBTClassifier(seed=seed, featuresCol="features", labelCol="label")
-    iters = [100, 200, 300] if full else [20]
-    rate = [0.01, 0.1, 0.2] if full else [0.1]
+    iters = [50, 100, 200] if full else [20]
+    rate = [0.01, 0.1, 0.2] if full else [0.1, 0.2]
     depth = [3, 5, 7] if full else [3]
     sub = [0.8, 0.9, 1.0] if full else [1.0]
     grid = ParamGridBuilder().addGrid(gb.maxIter, iters).addGrid(gb.stepSize, rate) \
@@ -86,22 +88,47 @@ def f1_evaluator():
                                              labelCol="label", predictionCol="prediction")
 
 
-def grid_search(estimator, grid, train: DataFrame, fold_col: str = "fold", parallelism: int = 4,
-                n_folds: int = 5):
-    """5-fold (by ``fold_col``) grid search on class-1 F1.  Returns
-    (best model, best params dict, best mean CV score, seconds)."""
-    import time
+def fold_models(estimator, data: DataFrame, n_folds: int, prepare=None, parallelism: int = 4) -> list:
+    """One model per fold, fitted on the other folds (``prepare``d, e.g.
+    oversampled).  Driver threads only submit the fits."""
+    from multiprocessing.pool import ThreadPool
+
+    def fit(i: int):
+        part = data.where(F.col("fold") != i)
+        return estimator.fit(prepare(part) if prepare else part)
+
+    with ThreadPool(parallelism) as pool:
+        return pool.map(fit, range(n_folds))
+
 
-    from pyspark.ml.tuning import CrossValidator
+def held_out_scores(models: Sequence, data: DataFrame) -> DataFrame:
+    """(fold, label, p, pred): every row scored by the model that did not see it."""
+    parts = [score(m, data.where(F.col("fold") == i)).select("fold", "label", F.col("ChurnProbability").alias("p"), "pred")
+             for i, m in enumerate(models)]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def grid_search(estimator, grid, data: DataFrame, n_folds: int = 5, prepare=None, parallelism: int = 4) -> dict:
+    """Search ``grid`` by mean class-1 F1 over the folds of ``data`` (label,
+    fold and the estimator's inputs); the first of equal settings wins.
+    Returns params, tuning_score, seconds, the fold models of the best
+    setting and the model fitted on all of ``data``."""
+    import time
 
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=f1_evaluator(),
-                        foldCol=fold_col, numFolds=n_folds, parallelism=parallelism, seed=42)
-    t0 = time.time()
-    m = cv.fit(train)
-    secs = time.time() - t0
-    best = max(range(len(grid)), key=lambda i: (m.avgMetrics[i], -i))
-    params = {p.name: v for p, v in grid[best].items()}
-    return m.bestModel, params, float(m.avgMetrics[best]), secs
+    t0, best = time.time(), None
+    for setting in grid:
+        est = estimator.copy(setting)
+        fitted = fold_models(est, data, n_folds, prepare, parallelism)
+        f1 = f1_evaluator()
+        mean = sum(f1.evaluate(m.transform(data.where(F.col("fold") == i))) for i, m in enumerate(fitted)) / n_folds
+        if best is None or mean > best["tuning_score"]:
+            best = {"params": {p.name: v for p, v in setting.items()}, "tuning_score": float(mean), "folds": fitted, "estimator": est}
+    best["model"] = best.pop("estimator").fit(prepare(data) if prepare else data)
+    best["seconds"] = time.time() - t0
+    return best
 
 
 # D10 ----------------------------------------------------------------------------------------------------------
@@ -178,44 +205,146 @@ def weighted_vote(scored: Sequence[DataFrame], weights: Sequence[float], key: st
     return j.select(key, (num / F.lit(total)).alias("ensemble_probability"))
 
 
+def chained_vote(df: DataFrame, scorers: Sequence, weights: Sequence[float], out: str = "ensemble_probability") -> DataFrame:
+    """The weighted vote of several scorers on one table: each adds its
+    probability to the same row, so nothing is joined or shuffled."""
+    if len(scorers) != len(weights) or not scorers:
+        raise ValueError("one weight per scorer is required")
+    x, names = df, [f"_p{i}" for i in range(len(scorers))]
+    for name, scorer in zip(names, scorers):
+        x = scorer.transform(x, name)
+    votes = sum((F.lit(float(w)) * F.col(n) for n, w in zip(names, weights)), F.lit(0.0))
+    return x.withColumn(out, votes / F.lit(float(sum(weights)))).drop(*names)
+
+
 # training pipeline ----------------------------------------------------------------------------------------------
 
+RAW_INPUTS = ["CreditScore", "Geography", "Gender", "Age", "Tenure", "Balance", "NumOfProducts",
+              "HasCrCard", "IsActiveMember", "EstimatedSalary"]
+
+
+def feature_stage(balance_median: float, salary_median: float):
+    """The raw columns -> 20 features as a pipeline stage that can be saved;
+    the fitted medians are part of it, so serving uses the training rule."""
+    from pyspark.ml.feature import SQLTransformer
+
+    flag = "CASE WHEN {} THEN 1 ELSE 0 END AS {}"
+    derived = [
+        flag.format("Geography = 'Germany'", "Geography_Germany"), flag.format("Geography = 'Spain'", "Geography_Spain"),
+        flag.format("Gender = 'Male'", "Gender_Male"),
+        "try_divide(Balance, EstimatedSalary + 1) AS Balance_to_Salary_Ratio",
+        "try_divide(CreditScore, EstimatedSalary + 1) AS Credit_to_Salary_Ratio",
+        "try_divide(Age, Tenure + 1) AS Age_to_Tenure_Ratio", "try_divide(NumOfProducts, Tenure + 1) AS Products_per_Tenure",
+        flag.format(f"Balance > {balance_median!r}D AND EstimatedSalary > {salary_median!r}D", "IsHighValueCustomer"),
+        flag.format("Tenure > 5", "IsLongTermCustomer"), flag.format("NumOfProducts > 1", "HasMultipleProducts"),
+        flag.format("Age < 30 AND IsActiveMember = 0", "IsYoungInactive"), flag.format("Age > 60 AND IsActiveMember = 0", "IsOldInactive"),
+    ]
+    return SQLTransformer(statement=f"SELECT *, {', '.join(derived)} FROM __THIS__")
+
+
+def vector_stages(rows: DataFrame, scale: bool, features: Sequence[str] = S.FEATURES) -> list:
+    """Assembler (nulls become NaN, so one bad row does not stop a job) and, if
+    asked for, a scaler fitted on ``rows``."""
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+
+    name = "raw_features" if scale else "features"
+    stages = [VectorAssembler(inputCols=list(features), outputCol=name, handleInvalid="keep")]
+    if scale:
+        stages.append(StandardScaler(inputCol=name, outputCol="features", withMean=True, withStd=True).fit(stages[0].transform(rows)))
+    return stages
+
+
+@dataclass
+class Training:
+    """What a training run leaves: one saved-able pipeline per model, the
+    comparison table, the parameters and the name of the best model."""
+
+    models: dict
+    comparison: DataFrame
+    parameters: DataFrame
+    weights: dict
+    best: str
+
+
 def train_and_compare(spark, customers: DataFrame, full_grid: bool = False, resample_scope: str = "train",
-                      models: Sequence[str] = ("logistic", "forest", "boosting"), parallelism: int = 4):
-    """B-features -> stratified split -> SMOTE -> grid search per model ->
-    test metrics.  Returns (comparison DataFrame, {name: fitted model}, test
-    frame with features).  ``resample_scope`` 'train' oversamples before the
-    folds (as the reproduced script does); 'fold' is not offered by
-    CrossValidator and raises."""
+                      models: Sequence[str] = ("logistic", "forest", "boosting"), parallelism: int = 4,
+                      scale: bool = False, n_folds: int = 5, label: str = "Exited") -> Training:
+    """Features -> stratified split -> SMOTE -> grid search per model -> test and
+    cross-validated metrics -> best model by CV F1.
+
+    ``resample_scope`` 'train' oversamples before the folds (as the reproduced
+    script does); 'fold' oversamples the training side of every fold, so no
+    held-out row is synthetic.  ``full_grid`` searches the published grids."""
+    import json
+
+    from pyspark.ml import PipelineModel
+
     from retainer.operators import evaluate as EV
     from retainer.operators import features as FE
     from retainer.operators import sampling as SM
-    from retainer.session import checkpoint_dir
-
-    if resample_scope != "train":
-        raise ValueError("only resample_scope='train' is supported")
-    checkpoint_dir(spark)
-    feats = FE.training_features(customers)
-    split = SM.stratified_split(feats)
-    train = split.where(F.col("split") == "train").drop("split")
-    test = assemble(split.where(F.col("split") == "test").drop("split"))
-    balanced = SM.smote(train, S.FEATURES, "Exited")
-    balanced = balanced.withColumn("_rid", F.xxhash64(*S.FEATURES, "CustomerId", "synthetic"))
-    balanced = SM.stratified_folds(balanced, "Exited", "_rid")
-    balanced = assemble(balanced).select("features", "label", "fold").checkpoint(eager=True)
-    n = balanced.count()
-    builders = {"logistic": lambda: logistic_grid(n, full_grid),
-                "forest": lambda: forest_grid(full_grid),
+    from retainer.operators.stats import exact_median
+    from retainer.session import written
+
+    if resample_scope not in ("train", "fold"):
+        raise ValueError("resample_scope is 'train' or 'fold'")
+    clean = FE.drop_invalid_rows(customers.select("CustomerId", *RAW_INPUTS, label))
+    med = exact_median(clean, [], ["Balance", "EstimatedSalary"]).first()
+    prepare_features = feature_stage(float(med["Balance_median"]), float(med["EstimatedSalary_median"]))
+    split = written(SM.stratified_split(prepare_features.transform(clean), label), "training-split")
+    train = split.where(F.col("split") == "train").select("CustomerId", *S.FEATURES, label)
+
+    def balanced(rows: DataFrame) -> DataFrame:
+        return SM.smote(rows, S.FEATURES, label)
+
+    whole = balanced(train)
+    vectors = vector_stages(whole, scale)
+
+    def assembled(rows: DataFrame) -> DataFrame:
+        for stage in vectors:
+            rows = stage.transform(rows)
+        return rows.withColumn("label", F.col(label).cast("double"))
+
+    if resample_scope == "train":
+        # a row number, as identical synthetic rows would share a hash and thus a fold
+        numbered = written(whole.withColumn("_rid", F.monotonically_increasing_id()), "training-rows")
+        data, prepare = assembled(SM.stratified_folds(numbered, label, "_rid")).select("features", "label", "fold"), None
+    else:
+        kept = [*S.FEATURES, label, "features", "label", "fold"]
+        data = assembled(SM.stratified_folds(train, label, "CustomerId")).select("CustomerId", *kept)
+
+        def prepare(rows: DataFrame) -> DataFrame:
+            return assembled(balanced(rows.select("CustomerId", *S.FEATURES, label))).select("features", "label")
+
+    data = written(data, "training-data")
+    n = data.count()
+    test = written(assembled(split.where(F.col("split") == "test")).select("features", "label"), "training-test")
+    builders = {"logistic": lambda: logistic_grid(n, full_grid), "forest": lambda: forest_grid(full_grid),
                 "boosting": lambda: boosting_grid(full_grid)}
-    fitted, rows = {}, []
+    fitted, rows, folds, params = {}, None, None, []
     for i, name in enumerate(models):
-        est, grid = builders[name]()
-        model, params, cv_score, secs = grid_search(est, grid, balanced, parallelism=parallelism)
-        fitted[name] = model
-        scored = score(model, test).withColumn("model", F.lit(name)).withColumn("pos", F.lit(i))
-        rows.append(scored.select("model", "pos", "label", F.col("ChurnProbability").alias("p"), "pred"))
-    allp = rows[0]
-    for r in rows[1:]:
-        allp = allp.unionByName(r)
-    metrics = EV.metrics_by(allp, ["model", "pos"], "label", "p", "pred")
-    return metrics, fitted, test
+        found = grid_search(*builders[name](), data, n_folds, prepare, parallelism)
+        fitted[name] = PipelineModel([prepare_features, *vectors, found["model"]])
+        params.append((name, i, json.dumps(found["params"], sort_keys=True), found["tuning_score"], found["seconds"]))
+        on_test = score(found["model"], test).select(F.lit(name).alias("model"), "label", F.col("ChurnProbability").alias("p"), "pred")
+        on_folds = held_out_scores(found["folds"], data).withColumn("model", F.lit(name))
+        rows = on_test if rows is None else rows.unionByName(on_test)
+        folds = on_folds if folds is None else folds.unionByName(on_folds)
+    tests = EV.metrics_by(written(rows, "training-scores"), ["model"], "label", "p", "pred")
+    cv = EV.cv_summary(EV.metrics_by(written(folds, "training-folds"), ["model", "fold"], "label", "p", "pred"))
+    parameters = spark.createDataFrame(params, "Model string, pos int, best_params string, Tuning_Score double, tuning_seconds double")
+    order = parameters.select(F.col("Model").alias("model"), "pos")
+    table = EV.comparison_table(tests, cv, order).drop("Tuning_Score").join(parameters.select("Model", R6(F.col("Tuning_Score")).alias("Tuning_Score")), "Model")
+    comparison = written(table, "training-comparison")
+    weights = {r["Model"]: r["CV_F1"] for r in comparison.select("Model", "CV_F1").collect()}     # one row per model
+    best = EV.best_model(comparison).first()["Model"]
+    return Training(fitted, comparison, parameters, weights, best)
+
+
+def enhanced_table(customers: DataFrame, model, segments: DataFrame) -> DataFrame:
+    """Every customer with the model's probability, risk level (text and number) and cluster segment
+    (``segments``: CustomerId, CustomerSegment, SegmentName)."""
+    from retainer.operators.batch import ModelScorer
+
+    scored = ModelScorer(model).transform(customers)
+    scored = scored.withColumn("RiskLevel", C.risk_level(F.col("ChurnProbability")))
+    return scored.withColumn("RiskLevelNumeric", C.risk_level_numeric(F.col("RiskLevel"))).join(segments, "CustomerId", "left")

@@ -130,12 +130,67 @@ def test_streaming_scoring(spark, tmp):
     assert spark.table("rollup_t").agg(F.sum("count")).first()[0] == want.count()
 
 
-def test_train_and_compare_pipeline(spark):
-    """Split -> SMOTE -> stratified folds -> CrossValidator grid -> test metrics."""
-    metrics, fitted, test = M.train_and_compare(spark, TB.churn_customers(spark, SF_SMALL),
-                                                models=("logistic",), parallelism=2)
-    row = metrics.first()
-    assert row.model == "logistic" and set(fitted) == {"logistic"}
-    for m in ("accuracy", "precision", "recall", "f1", "roc_auc"):
-        assert 0.0 <= row[m] <= 1.0
-    assert test.count() + 0 > 0
+def _learnable(spark):
+    from retainer.plans.ml import learnable
+
+    return learnable(spark, SF_SMALL)
+
+
+def test_training_leaves_models_that_score_batches(spark, tmp):
+    """Three models (small grids), saved, loaded and used by the batch scorer; null inputs give null."""
+    run = M.train_and_compare(spark, _learnable(spark), models=("logistic", "forest"), n_folds=3, parallelism=2, scale=True)
+    rows = {r.Model: r for r in run.comparison.collect()}
+    assert set(rows) == {"logistic", "forest"} == set(run.models) and run.best in rows
+    for r in rows.values():
+        assert all(0.0 <= r[f"{side}_{m}"] <= 1.0 for side in ("Test", "CV") for m in ("Accuracy", "Precision", "Recall", "F1", "ROC_AUC"))
+        assert r.Test_ROC_AUC > 0.8 and r.Tuning_Score > 0.5
+    assert all(json.loads(r.best_params) and r.tuning_seconds > 0 for r in run.parameters.collect())
+    IO.save_model(run.models["logistic"], f"{tmp}/m")
+    scorer = B.ModelScorer(IO.load_model(f"{tmp}/m"))
+    src = catalog.scoring_input(spark, SF_SMALL)
+    out = B.score_batch(src, scorer)
+    assert out.columns == ["CustomerId", *S.BATCH_RESULT_COLUMNS] and out.count() == src.count()
+    assert out.filter("ChurnProbability is null or ChurnProbability < 0 or ChurnProbability > 1").count() == 0
+    bad = B.score_batch(src.withColumn("Balance", F.lit(None).cast("double")), scorer)
+    assert bad.filter("ChurnProbability is not null or RiskLevel is not null").count() == 0
+    vote = M.chained_vote(src.withColumn("HasCrCard", F.lit(1)).withColumn("IsActiveMember", F.lit(1)),
+                          [B.ModelScorer(m) for m in run.models.values()], [1.0, 3.0])
+    assert vote.columns == [*src.columns, "ensemble_probability"] and vote.filter("ensemble_probability between 0 and 1").count() == src.count()
+
+
+def test_boosting_with_resampling_inside_the_folds(spark):
+    run = M.train_and_compare(spark, _learnable(spark), models=("boosting",), resample_scope="fold", n_folds=2, parallelism=2)
+    row = run.comparison.first()
+    assert row.Model == "boosting" and 0.0 <= row.CV_F1 <= 1.0
+    with pytest.raises(ValueError):
+        M.train_and_compare(spark, _learnable(spark), resample_scope="none")
+
+
+def test_published_grids(spark):
+    sizes = [len(M.logistic_grid(100, True)[1]), len(M.forest_grid(True)[1]), len(M.boosting_grid(True)[1])]
+    assert sizes == [8, 27, 81]
+
+
+def test_synthetic_customers(spark):
+    df = IO.synthetic_customers(spark, 500, noise=False)
+    assert df.count() == 500 and df.select("CustomerId").distinct().count() == 500
+    assert df.filter("Age < 18 or Age >= 95 or CreditScore < 300 or CreditScore >= 900 or Exited not in (0, 1)").count() == 0
+
+
+def test_csv_with_other_header_order_fails_and_bad_records_are_kept(spark, tmp):
+    os.makedirs(f"{tmp}/c")
+    with open(f"{tmp}/c/a.csv", "w") as fh:
+        fh.write("a,b\n1,2\nx,3\n")
+    df = IO.read_table(spark, f"{tmp}/c", "a int, b int", "csv", corrupt_column="_bad")
+    assert df.filter("_bad is not null").select("_bad").collect()[0][0] == "x,3"
+    with open(f"{tmp}/c/b.csv", "w") as fh:
+        fh.write("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        IO.read_table(spark, f"{tmp}/c", "a int, b int", "csv").collect()
+
+
+def test_levels_are_bounded(spark):
+    from retainer.operators import features as FE
+
+    with pytest.raises(ValueError):
+        FE.fit_levels(spark.range(20).select(F.col("id").cast("string").alias("c")), "c", max_levels=10)
