@@ -347,7 +347,7 @@ def _hash_in_blocks(data: np.ndarray, start: np.ndarray, end: np.ndarray, block:
 def _blobs(part: np.ndarray, group: int, columns: dict[str, np.ndarray], text: np.ndarray | None = None, ends: np.ndarray | None = None) -> dict:
     """One packed row for each part; `part` is ascending."""
     head = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(part))
+    tail = np.append(head[1:], len(part))[: len(head)]
     out = {"part": pa.array(part[head], pa.int32()), "g": pa.array(np.full(len(head), group), pa.int32())}
     for name, values in columns.items():
         out[name] = pa.array([values[a:b].tobytes() for a, b in zip(head, tail, strict=True)], pa.binary())
