@@ -32,6 +32,13 @@ class RuleScorer:
         return df.withColumn(out, C.proxy_probability())
 
 
+class AdditiveScorer:
+    """The unscaled additive rule, clipped to [0, 1]."""
+
+    def transform(self, df: DataFrame, out: str = "ChurnProbability") -> DataFrame:
+        return df.withColumn(out, C.clip01(C.additive_risk_terms()))
+
+
 class ModelScorer:
     """A fitted ``PipelineModel`` (``models.train_and_compare``) over the raw
     customer columns; adds P(class 1).  A row with a null input gets a null

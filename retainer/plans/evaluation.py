@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from retainer import schema as S
 from retainer.functions import columns as C
+from retainer.operators import batch as B
 from retainer.operators import evaluate as EV
 from retainer.operators import features as FE
 from retainer.operators import models as M
@@ -324,7 +325,5 @@ JOIN (SELECT CustomerId, LEAST(1e0, GREATEST(0e0, 2e-2
     + 1e-1  * (CASE WHEN Geography = 'Germany' THEN 1 ELSE 0 END))) AS p2 FROM churn_customers) b
   ON a.CustomerId = b.CustomerId"""))
 def weighted_vote(spark, d):
-    scored = TB.churn_scored(spark, d).select("CustomerId", F.col("ChurnProbability").alias("p"))
-    additive = TB.churn_customers(spark, d).select("CustomerId", C.clip01(C.additive_risk_terms()).alias("p"))
-    out = M.weighted_vote([scored, additive], [0.7, 0.3], key="CustomerId", score="p")
+    out = M.chained_vote(TB.churn_customers(spark, d), [B.RuleScorer(), B.AdditiveScorer()], [0.7, 0.3])
     return out.select("CustomerId", C.bround6(F.col("ensemble_probability")).alias("ensemble_probability"))
