@@ -168,7 +168,7 @@ def anchors_of(texts: np.ndarray, ends: np.ndarray, length: int, block: int = 1
     return out
 
 
-def earliest_in_batches(texts: np.ndarray, ends: np.ndarray, docs: np.ndarray, length: int, batch: int = 1 << 20) -> np.ndarray:
+def earliest_in_batches(texts: np.ndarray, ends: np.ndarray, docs: np.ndarray, length: int, batch: int = 1 << 19) -> np.ndarray:
     """`earliest` of any number of runs, sorted in batches of whole anchors of about `batch` bytes."""
     anchors = anchors_of(texts, ends, length)
     order = np.argsort(anchors, kind="stable")
