@@ -64,7 +64,7 @@ class Asked:
         if self.size >= 1 << _ROW_BITS:
             raise ValueError("a document group holds too many rows; lower group_bytes")
         train = np.asarray(rows["train"].to_numpy(zero_copy_only=False), bool)
-        word, word_row, packed = [], [], []
+        word, word_row, packed = [], [], []  # 32-bit places: a group's bytes fit them by far
         for i, data, offsets in chunks(rows["text"], 1 << 20):
             key, row = grams(data, offsets)
             packed.append((key << np.uint64(_ROW_BITS)) | (row + i).astype(np.uint64))
@@ -75,12 +75,14 @@ class Asked:
         self.word_row = np.concatenate(word_row)
         self.words, self.word_at = np.unique(np.concatenate(word), return_inverse=True)
         self.word_counts = np.bincount(self.word_at[train[self.word_row]], minlength=len(self.words)).astype(np.uint32)
-        packed = np.sort(np.concatenate(packed))
-        key = packed >> np.uint64(_ROW_BITS)
-        self.gram_row = (packed & np.uint64((1 << _ROW_BITS) - 1)).astype(np.int64)
-        fresh = np.append(True, key[1:] != key[:-1])
-        self.gram_at = np.cumsum(fresh) - 1
-        self.grams = key[fresh]
+        packed = np.concatenate(packed)
+        packed.sort()
+        self.gram_row = packed.astype(np.int32) & np.int32((1 << _ROW_BITS) - 1)  # the low bits hold the row
+        packed >>= np.uint64(_ROW_BITS)
+        fresh = np.append(True, packed[1:] != packed[:-1])
+        self.grams = packed[fresh]
+        del packed
+        self.gram_at = np.cumsum(fresh, dtype=np.int32) - np.int32(1)
         self.gram_counts = np.bincount(self.gram_at[train[self.gram_row]], minlength=len(self.grams)).astype(np.uint32)
 
     def dealt(self, keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
