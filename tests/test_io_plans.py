@@ -171,6 +171,26 @@ def test_published_grids(spark):
     assert sizes == [8, 27, 81]
 
 
+def test_training_queries_search_the_published_grids(spark, monkeypatch):
+    """The search itself is cut off after its settings are known."""
+    class Known(Exception):
+        pass
+
+    def known(estimator, grid, *rest):
+        sizes[type(estimator).__name__] = len(grid)
+        if type(estimator).__name__ == last:
+            raise Known
+        return search(estimator, grid[:1], *rest)
+
+    search, whole = M.grid_search, {"LogisticRegression": 8, "RandomForestClassifier": 27, "GBTClassifier": 81}
+    monkeypatch.setattr(M, "grid_search", known)
+    for name, last in (("train_comparison", "GBTClassifier"), ("enhanced_model", "GBTClassifier"), ("batch_score_model", "LogisticRegression")):
+        sizes = {}
+        with pytest.raises(Known):
+            catalog.REGISTRY[name][0](spark, SF_SMALL)
+        assert sizes == ({last: 8} if name == "batch_score_model" else whole)
+
+
 def test_synthetic_customers(spark):
     df = IO.synthetic_customers(spark, 500, noise=False)
     assert df.count() == 500 and df.select("CustomerId").distinct().count() == 500
