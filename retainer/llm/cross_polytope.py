@@ -86,16 +86,21 @@ def _rank(k: int):
             norm_b = b / np.abs(b).max(axis=1, keepdims=True)
             norm_b /= np.sqrt((norm_b * norm_b).sum(axis=1, keepdims=True))
             ids, own = base["id"].to_numpy(), queries["id"].to_numpy()
+            norm_q = q / np.abs(q).max(axis=1, keepdims=True)
+            norm_q /= np.sqrt((norm_q * norm_q).sum(axis=1, keepdims=True))
+            take, slack, step = min(len(b), k + 1), 1e-12 + dim * 1e-15, max(1, (4 << 20) // dim)
             for a in range(0, len(q), 256):
-                near = q[a : a + 256] @ norm_b.T
-                take = min(len(b), k + 6)  # room for rounding; ties are settled by exact values below
-                best = np.argpartition(-near, take - 1, axis=1)[:, :take]
-                exact = cosine(np.repeat(q[a : a + 256], take, axis=0), b[best.ravel()]).reshape(best.shape)
-                order = np.lexsort((ids[best], -exact), axis=1)[:, : k + 1]
-                best, exact = np.take_along_axis(best, order, 1), np.take_along_axis(exact, order, 1)
-                out[0].append(np.repeat(own[a : a + 256], best.shape[1]))
-                out[1].append(ids[best].ravel())
-                out[2].append(exact.ravel())
+                near = norm_q[a : a + 256] @ norm_b.T
+                last = np.partition(near, len(b) - take, axis=1)[:, len(b) - take]
+                # every class that rounding or a tie could put in the last place, however many
+                row, col = np.nonzero(near >= last[:, None] - slack)
+                exact = np.concatenate([cosine(q[a + row[i : i + step]], b[col[i : i + step]]) for i in range(0, len(row), step)])
+                order = np.lexsort((ids[col], -exact, row))
+                row, col, exact = row[order], col[order], exact[order]
+                first = np.arange(len(row)) - np.searchsorted(row, row) < take
+                out[0].append(own[a + row[first]])
+                out[1].append(ids[col[first]])
+                out[2].append(exact[first])
         flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64), strict=True)]
         return pa.table(flat, names=["query_id", "rep", "score"])
 

@@ -328,6 +328,18 @@ def test_nearest_recall_and_edges(spark, vectors):
     assert nearest(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_ties_of_many_multiples_go_to_smaller_ids(spark):
+    """Multiples of a vector are classes of their own with the same cosine."""
+    from retainer.llm.cross_polytope import nearest
+
+    rng = np.random.default_rng(3)
+    v, noise = rng.normal(size=16), rng.normal(size=(2, 16))
+    rows = [(int(i), (v * 2.0 ** e).tolist()) for i, e in zip(rng.permutation(200), range(-100, 100), strict=True)]
+    table = spark.createDataFrame([*rows, *((1000 + i, (v + 0.1 * n).tolist()) for i, n in enumerate(noise))], "vec_id long, embedding array<double>")
+    got = nearest(table, table.filter("vec_id in (7, 1000)")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"]) for r in got] == [*((7, i) for i in range(5)), *((1000, i) for i in range(5))]
+
+
 def test_vector_links_equal_brute_force(spark, vectors):
     from retainer.llm.hnsw import near_duplicates
 
