@@ -9,7 +9,7 @@ its last `ORDER` bytes alone, so each distinct gram is computed once for the who
 
 Data flow (all tables packed: one row holds many sorted keys):
 
-* texts are dealt by a hash of doc_id into groups of about `group_bytes`; a group asks about its distinct words
+* texts are dealt by a hash of doc_id and text into groups of about `group_bytes`; a group asks about its distinct words
   and grams, with their training counts, dealt by key hash;
 * per deal counts are added up; the distinct grams go once more by the last two bytes of their context, where the
   whole subtree of orders 2 and up is at hand (its size is bounded by the alphabet); orders 0 and 1 are
@@ -254,7 +254,7 @@ def score(docs: DataFrame, folds: int = 7, held_out: int = 2, group_bytes: int =
     groups = max(8, -(-int(size["bytes"] or 0) // group_bytes))
     parts = max(8, groups // 4)
     grouped = source.select("doc_id", "text", out.alias("held_out"), F.coalesce(~out, F.lit(False)).alias("train"),
-                            F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
+                            F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
     ask, ask_schema = _ask(parts)
     asked = materialize(grouped.groupBy("g").applyInArrow(ask, ask_schema), "ppm-asked")
     merge, merge_schema = _merge(buckets)

@@ -295,6 +295,16 @@ def test_ppm_equals_a_plain_trie(docs, edge, empty):
     assert score(empty).count() == 0
 
 
+def test_rows_that_share_an_id_are_dealt_by_their_text(spark, monkeypatch):
+    from retainer.llm import ppm
+
+    kept, materialize = {}, ppm.materialize
+    monkeypatch.setattr(ppm, "materialize", lambda rows, name: kept.setdefault(name, materialize(rows, name)))
+    table = spark.createDataFrame([(i, f"word {n}") for n in range(60) for i in (None, 7)], "doc_id long, text string")
+    assert ppm.score(table).count() == 120
+    assert kept["ppm-asked"].select("g").distinct().count() == 8
+
+
 # operators 7 and 9 ----------------------------------------------------------------------------------
 
 VECTORS = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (50, [1.0, 0.1]), (6, [1.0]), (None, [1.0, 1.0]),
