@@ -21,13 +21,14 @@ With nothing to learn from, every text is `und`.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -258,17 +259,34 @@ class Crf:
         return (share / share.sum(axis=1, keepdims=True)).reshape(-1, k)
 
 
-def fit(docs: DataFrame, train_rows: int = 1200, train_max_bytes: int = 65536) -> Crf:
+def fit(docs: DataFrame, train_rows: int = 1200, train_max_bytes: int = 65536, least: int = 24) -> Crf:
     """Fit on a bounded sample of the labelled rows of `docs` (doc_id, text, lang).
 
     The sample: the `train_rows` rows with the smallest hash of doc_id among those with language, text of at
-    most `train_max_bytes` bytes and a letter.  Both bounds limit what the driver holds.
+    most `train_max_bytes` bytes and a letter.  Both bounds limit what the driver holds.  A language with fewer than
+    `least` of them (or its share of `train_rows`, if that is less) gets that many rows of its own, the smallest hashes
+    first and longer texts last, by their beginning; more than `train_rows` languages raise.
     """
-    rows = (only(docs, "doc_id", "text", "lang")
-            .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")
-                    & (F.octet_length("text") <= train_max_bytes)))
+    labelled = (only(docs, "doc_id", "text", "lang")
+                .filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")))
+    short = F.octet_length("text") <= train_max_bytes
+    rows = labelled.filter(short)
     chosen = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(train_rows)
     picked = rows.join(F.broadcast(chosen.select("doc_id")), "doc_id").orderBy("doc_id", "lang", "text").limit(2 * train_rows).collect()
+    langs = [r["lang"] for r in labelled.select("lang").distinct().limit(train_rows + 1).collect()]
+    if len(langs) > train_rows:
+        raise ValueError(f"more than {train_rows} languages")
+    have = Counter(r["lang"] for r in picked)
+    least = min(least, train_rows // max(1, len(langs)))
+    if rare := [x for x in langs if have[x] < least]:
+        part = F.when(short, F.col("text")).otherwise(F.substring("text", F.regexp_instr("text", F.lit(r"\p{L}")), F.lit(train_max_bytes // 4)))
+        own = labelled.filter(F.col("lang").isin(rare))
+        order = Window.partitionBy("lang").orderBy("long", "h", "doc_id")
+        first = (own.select("doc_id", "lang", (~short).alias("long"), F.xxhash64("doc_id").alias("h")).groupBy("doc_id", "lang", "h").agg(F.min("long").alias("long"))
+                 .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= least).select("doc_id", "lang"))
+        extra = own.join(F.broadcast(first), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min(part).alias("text")).orderBy("doc_id", "lang").collect()
+        known = {(r["doc_id"], r["lang"]) for r in picked}
+        picked += [r for r in extra if (r["doc_id"], r["lang"]) not in known]
     return Crf(sorted({r["lang"] for r in picked})).fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 

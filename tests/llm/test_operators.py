@@ -120,6 +120,14 @@ def test_language_held_out_accuracy(docs, edge, empty):
     assert language_id(empty).count() == 0
 
 
+def test_rare_languages_are_learned(spark):
+    from retainer.llm.crf_langid import fit
+
+    rows = [(i, "the cat sat on the mat", "en") for i in range(400)] + [(i, "кошка сидит на окне", "ru") for i in (1001, 1002)] + [(2000, "η γάτα " * 9000, "el")]
+    model = fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=20)
+    assert model.labels == ["el", "en", "ru"]
+
+
 def test_forward_backward_equals_a_plain_chain():
     from retainer.llm.crf_langid import forward_backward
 
