@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from retainer.llm.bpe_sql import bpe_round_trip
 from retainer.llm.crf_langid import language_id
 from retainer.llm.cross_polytope import nearest
-from retainer.llm import fixity, hnsw
+from retainer.llm import fixity, hnsw, iblt, trie
 from retainer.llm.hilbert import shard
 from retainer.llm.minhash_odd import near_duplicates
 from retainer.llm.packing import pack
 from retainer.llm.ppm import score
+from retainer.llm.repair import damaged_repair
 from retainer.llm.suffix_dedup import remove_repeats
 
 
@@ -60,6 +61,22 @@ def op10_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), words=2, percent=80)
 
 
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet")
+
+
+def op11_weighted_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damaged_repair(_conversations(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(_conversations(spark, sf_dir))
+
+
+def op13_lookup_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprint_versions(_documents(spark, sf_dir))
+
+
 REGISTRY = {
     "op1_byte_bpe": (op1_byte_bpe, None),
     "op2_crf_language": (op2_crf_language, None),
@@ -71,4 +88,7 @@ REGISTRY = {
     "op8_bounded_packing": (op8_bounded_packing, None),
     "op9_hnsw_components": (op9_hnsw_components, None),
     "op10_odd_sketch": (op10_odd_sketch, None),
+    "op11_weighted_repair": (op11_weighted_repair, None),
+    "op12_prefix_trie": (op12_prefix_trie, trie.ORACLE_SQL),
+    "op13_lookup_sketch": (op13_lookup_sketch, iblt.ORACLE_SQL),
 }
