@@ -246,10 +246,11 @@ def test_peeling_recovers_differences_and_retries(spark):
     from retainer.llm import iblt
 
     small, large = list(range(100)), list(range(1000, 1400))
-    pairs = spark.createDataFrame([(1, 0, small, small[3:]), (2, 0, small, large), (3, 0, small, small), (4, 0, [], [7])], "pair long, kind int, one array<long>, other array<long>")
-    got = {r["pair"]: (r["plus"], r["minus"]) for r in iblt.differences(pairs, width=4).collect()}
+    pairs = spark.createDataFrame([(1, 0, small, small[3:]), (2, 0, small, large), (3, 0, small, small), (4, 0, [], [7])], "pair long, kind int, one array<long>, other array<long>").withColumn("width", F.lit(4).cast("long"))
+    got = {r["pair"]: (r["plus"], r["minus"]) for r in iblt.differences(pairs).collect()}
     assert got == {1: (3, 0), 2: (100, 400), 4: (0, 1)}
-    one = iblt.peel(iblt.sketch(spark.createDataFrame([(1, d, 1) for d in large], "pair long, digest long, sign long"), ["pair"], 4), ["pair"], 4).first()
+    rows = spark.createDataFrame([(1, 4, d, 1) for d in large], "pair long, width long, digest long, sign long")
+    one = iblt.peel(iblt.sketch(rows, ["pair", "width"]), ["pair", "width"]).first()
     assert one["left"] > 0  # too small a sketch says so
 
 
