@@ -1,11 +1,10 @@
 """Classifiers, grid search, scoring, importances,
 ensembles.
 
-Models are Spark ML estimators over one assembled vector column; fitting
-runs on the executors, driver threads only submit the fits.  Grid search uses
-a fold column produced by ``sampling.stratified_folds`` so folds are
-stratified and reproducible, and keeps the fold models of the best setting:
-its cross-validated metrics need no further fit.
+Models are Spark ML stages over one assembled vector column; searches
+over many settings share their passes over the rows (``logistic``, ``ensembles``).
+Grid search uses a fold column produced by ``sampling.stratified_folds`` so folds
+are stratified and reproducible.
 """
 
 from __future__ import annotations
@@ -36,69 +35,39 @@ def assemble(df: DataFrame, features: Sequence[str] = S.FEATURES, label: str = "
 
 # D6 / D7 / D8 grids -------------------------------------------------------------------------------------
 
-def logistic_grid(n_rows: int, full: bool = False):
-    """C x penalty (solver has no Spark counterpart): regParam = 1 / (C * n),
-    elasticNetParam 0 (l2) or 1 (l1), no feature standardisation."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.tuning import ParamGridBuilder
+def _grid(**lists) -> list[dict]:
+    from itertools import product
 
-    lr = LogisticRegression(maxIter=1000, standardization=False, featuresCol="features", labelCol="label")
-    cs = [0.1, 1.0, 10.0, 100.0] if full else [1.0, 100.0]
-    pens = [0.0, 1.0] if full else [0.0]
-    grid = ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n_rows, 1)) for c in cs]) \
-                             .addGrid(lr.elasticNetParam, pens).build()
-    return lr, grid
+    return [dict(zip(lists, values)) for values in product(*lists.values())]
 
 
-def forest_grid(full: bool = False, seed: int = 42):
-    """trees x depth x min leaf; depth None -> 30 (Spark's maximum)."""
-    from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.tuning import ParamGridBuilder
-
-    rf = RandomForestClassifier(seed=seed, featuresCol="features", labelCol="label")
-    trees = [50, 100, 200] if full else [50]
-    depth = [10, 20, 30] if full else [10]
-    leaf = [1, 2, 4] if full else [1, 4]
-    grid = ParamGridBuilder().addGrid(rf.numTrees, trees).addGrid(rf.maxDepth, depth) \
-                             .addGrid(rf.minInstancesPerNode, leaf).build()
-    return rf, grid
-
-
-def boosting_grid(full: bool = False, seed: int = 42):
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.tuning import ParamGridBuilder
-
-    gb = GBTClassifier(seed=seed, featuresCol="features", labelCol="label")
-    iters = [50, 100, 200] if full else [20]
-    rate = [0.01, 0.1, 0.2] if full else [0.1, 0.2]
-    depth = [3, 5, 7] if full else [3]
-    sub = [0.8, 0.9, 1.0] if full else [1.0]
-    grid = ParamGridBuilder().addGrid(gb.maxIter, iters).addGrid(gb.stepSize, rate) \
-                             .addGrid(gb.maxDepth, depth).addGrid(gb.subsamplingRate, sub).build()
-    return gb, grid
+#: The published search (solvers share an optimum, so they are no setting here).
+PUBLISHED = {
+    "logistic": _grid(C=[0.1, 1.0, 10.0, 100.0], penalty=["l1", "l2"]),
+    "forest": _grid(n_estimators=[50, 100, 200], max_depth=[10, 20, None], min_samples_split=[2, 5, 10], min_samples_leaf=[1, 2, 4]),
+    "boosting": _grid(n_estimators=[50, 100, 200], learning_rate=[0.01, 0.1, 0.2], max_depth=[3, 5, 7], subsample=[0.8, 0.9, 1.0]),
+}
 
 
 # D9 ---------------------------------------------------------------------------------------------------------
 
-def f1_evaluator():
-    """Binary F1 of class 1 (Spark's plain 'f1' is the weighted F1)."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-
-    return MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                             labelCol="label", predictionCol="prediction")
-
-
-def fold_models(estimator, data: DataFrame, n_folds: int, prepare=None, parallelism: int = 4) -> list:
-    """One model per fold, fitted on the other folds (``prepare``d, e.g.
-    oversampled).  Driver threads only submit the fits."""
-    from multiprocessing.pool import ThreadPool
+def training_rows(data: DataFrame, n_folds: int, prepare=None) -> DataFrame:
+    """(rid, x, y, mask, held) of ``data`` (features, label, fold), written once.  Bit i of ``mask``: the row trains the model of
+    fold i (bit ``n_folds``: the final model).  ``prepare`` (e.g. oversampling) is applied once to the rows of each fold, whatever the settings."""
+    from pyspark.ml.functions import vector_to_array
 
-    def fit(i: int):
-        part = data.where(F.col("fold") != i)
-        return estimator.fit(prepare(part) if prepare else part)
+    from retainer.session import written
 
-    with ThreadPool(parallelism) as pool:
-        return pool.map(fit, range(n_folds))
+    whole, plain = 1 << n_folds, data.select("features", "label", "fold")
+    if prepare is None:
+        rows = plain.select("features", "label", (F.lit(2 * whole - 1).cast("long") - F.expr(f"shiftleft(1L, fold)")).alias("mask"), F.col("fold").alias("held"))
+    else:
+        rows = plain.select("features", "label", F.lit(0).cast("long").alias("mask"), F.col("fold").alias("held"))
+        for i in range(n_folds + 1):
+            part = prepare(data.where(F.col("fold") != i) if i < n_folds else data)
+            rows = rows.unionByName(part.select("features", "label", F.lit(1 << i).cast("long").alias("mask"), F.lit(-1).alias("held")))
+    return written(rows.select(F.monotonically_increasing_id().alias("rid"), vector_to_array("features").alias("x"), F.col("label").cast("int").alias("y"),
+                               "mask", F.col("held").cast("int").alias("held")), "training-matrix")
 
 
 def held_out_scores(models: Sequence, data: DataFrame) -> DataFrame:
@@ -111,24 +80,42 @@ def held_out_scores(models: Sequence, data: DataFrame) -> DataFrame:
     return out
 
 
-def grid_search(estimator, grid, data: DataFrame, n_folds: int = 5, prepare=None, parallelism: int = 4) -> dict:
-    """Search ``grid`` by mean class-1 F1 over the folds of ``data`` (label,
-    fold and the estimator's inputs); the first of equal settings wins.
-    Returns params, tuning_score, seconds, the fold models of the best
-    setting and the model fitted on all of ``data``."""
+def tuning_scores(counts: DataFrame, n_folds: int) -> dict[str, float]:
+    """Mean class-1 F1 over the folds of each setting (0 where undefined); one row a setting reaches the driver."""
+    f1 = F.coalesce(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    table = counts.groupBy("setting").agg((F.sum(f1) / n_folds).alias("score"))
+    return {r["setting"]: r["score"] for r in table.collect()}
+
+
+def grid_search(name: str, settings: Sequence[dict], rows: DataFrame, n_folds: int = 5, seed: int = 42, cuts=None, small: int | None = None) -> dict:
+    """Search ``settings`` of a model family by mean class-1 F1 over the folds of ``rows`` (``training_rows``); the first of
+    equal settings wins.  Logistic settings share every pass, trees their growth (``logistic``, ``ensembles``).  Returns
+    params, tuning_score, seconds, the fold models of the best setting and the model of all rows."""
+    import json
     import time
 
-    t0, best = time.time(), None
-    for setting in grid:
-        est = estimator.copy(setting)
-        fitted = fold_models(est, data, n_folds, prepare, parallelism)
-        f1 = f1_evaluator()
-        mean = sum(f1.evaluate(m.transform(data.where(F.col("fold") == i))) for i, m in enumerate(fitted)) / n_folds
-        if best is None or mean > best["tuning_score"]:
-            best = {"params": {p.name: v for p, v in setting.items()}, "tuning_score": float(mean), "folds": fitted, "estimator": est}
-    best["model"] = best.pop("estimator").fit(prepare(data) if prepare else data)
-    best["seconds"] = time.time() - t0
-    return best
+    from retainer.operators import ensembles as EN
+    from retainer.operators import logistic as LG
+
+    t0, spark, folds = time.time(), rows.sparkSession, range(n_folds)
+    every = range(n_folds + 1)  # the last one is trained on all rows
+    if name == "logistic":
+        fitted = LG.fit_all(rows, [(f, s) for s in settings for f in every])
+        scores = tuning_scores(LG.fold_counts(rows, [f for f in fitted if f.fold < n_folds]), n_folds)
+    else:
+        kind, small = {"forest": "forest", "boosting": "boosted"}[name], EN.SMALL if small is None else small
+        dim = len(rows.first()["x"])
+        cuts = EN.fit_cuts(rows, "x", dim) if cuts is None else cuts
+        table = EN.binned_rows(rows, "x", cuts)
+        scores = tuning_scores(EN.fold_counts(table, EN.growths(kind, settings, folds, dim, seed), dim, small), n_folds)
+    best = max(settings, key=lambda s: scores[json.dumps(s, sort_keys=True)])
+    if name == "logistic":
+        made = [LG.stage(spark, f) for f in sorted((f for f in fitted if f.setting == best), key=lambda f: f.fold)]
+    else:
+        grown = EN.train(table, [g for g, _ in EN.growths(kind, [best], every, dim, seed)], dim, small)
+        made = [EN.TreeEnsembleModel(ensemble=EN.pack(g), setting=json.dumps(best), cuts=json.dumps(cuts)) for g in grown]
+    return {"params": best, "tuning_score": scores[json.dumps(best, sort_keys=True)], "scores": scores, "folds": made[:n_folds], "model": made[n_folds],
+            "seconds": time.time() - t0}
 
 
 # D10 ----------------------------------------------------------------------------------------------------------
@@ -266,15 +253,15 @@ class Training:
     best: str
 
 
-def train_and_compare(spark, customers: DataFrame, full_grid: bool = False, resample_scope: str = "train",
-                      models: Sequence[str] = ("logistic", "forest", "boosting"), parallelism: int = 4,
-                      scale: bool = False, n_folds: int = 5, label: str = "Exited") -> Training:
+def train_and_compare(spark, customers: DataFrame, resample_scope: str = "train",
+                      models: Sequence[str] = ("logistic", "forest", "boosting"), grids: dict[str, list[dict]] | None = None,
+                      scale: bool = False, n_folds: int = 5, label: str = "Exited", small: int | None = None) -> Training:
     """Features -> stratified split -> SMOTE -> grid search per model -> test and
     cross-validated metrics -> best model by CV F1.
 
     ``resample_scope`` 'train' oversamples before the folds (as the reproduced
     script does); 'fold' oversamples the training side of every fold, so no
-    held-out row is synthetic.  ``full_grid`` searches the published grids."""
+    held-out row is synthetic.  ``grids``: the settings to search, by model (default: the published ones)."""
     import json
 
     from pyspark.ml import PipelineModel
@@ -316,13 +303,11 @@ def train_and_compare(spark, customers: DataFrame, full_grid: bool = False, resa
             return assembled(balanced(rows.select("CustomerId", *S.FEATURES, label))).select("features", "label")
 
     data = written(data, "training-data")
-    n = data.count()
     test = written(assembled(split.where(F.col("split") == "test")).select("features", "label"), "training-test")
-    builders = {"logistic": lambda: logistic_grid(n, full_grid), "forest": lambda: forest_grid(full_grid),
-                "boosting": lambda: boosting_grid(full_grid)}
+    matrix = training_rows(data, n_folds, prepare)
     fitted, rows, folds, params = {}, None, None, []
     for i, name in enumerate(models):
-        found = grid_search(*builders[name](), data, n_folds, prepare, parallelism)
+        found = grid_search(name, (grids or PUBLISHED)[name], matrix, n_folds, small=small)
         fitted[name] = PipelineModel([prepare_features, *vectors, found["model"]])
         params.append((name, i, json.dumps(found["params"], sort_keys=True), found["tuning_score"], found["seconds"]))
         on_test = score(found["model"], test).select(F.lit(name).alias("model"), "label", F.col("ChurnProbability").alias("p"), "pred")

@@ -3,7 +3,7 @@
 checked by row count and by the property tests in ``tests/``.
 
 ``train_comparison``, ``enhanced_model`` and ``batch_score_model`` search the
-published grids (8, 27 and 81 settings).
+published grids (8, 81 and 81 settings).
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def learnable(spark, d):
 @register("train_comparison", None)
 def train_comparison(spark, d):
     """Three tuned models: test and cross-validated metrics, parameters, tuning score."""
-    run = M.train_and_compare(spark, learnable(spark, d), full_grid=True)
+    run = M.train_and_compare(spark, learnable(spark, d))
     return run.comparison.join(run.parameters.select("Model", "best_params"), "Model")
 
 
@@ -116,7 +116,7 @@ def train_comparison(spark, d):
 def enhanced_model(spark, d):
     """All customers scored by the best of three models, with risk level, cluster segment and the weighted vote."""
     customers = written(learnable(spark, d), "enhanced-input")
-    run = M.train_and_compare(spark, customers, full_grid=True)
+    run = M.train_and_compare(spark, customers)
     table = M.enhanced_table(customers, run.models[run.best], SG.kmeans_segments(customers))
     names = list(run.models)
     return M.chained_vote(table, [B.ModelScorer(run.models[n]) for n in names], [run.weights[n] for n in names])
@@ -125,7 +125,7 @@ def enhanced_model(spark, d):
 @register("batch_score_model", None)
 def batch_score_model(spark, d):
     """Train a model, save it, load it and score the batch input with it."""
-    run = M.train_and_compare(spark, learnable(spark, d), full_grid=True, models=("logistic",), scale=True)
+    run = M.train_and_compare(spark, learnable(spark, d), models=("logistic",), scale=True)
     path = scratch_path(spark, "model")
     IO.save_model(run.models["logistic"], path)
     return B.score_batch(scoring_input(spark, d), B.ModelScorer(IO.load_model(path)))

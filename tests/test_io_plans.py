@@ -137,8 +137,10 @@ def _learnable(spark):
 
 
 def test_training_leaves_models_that_score_batches(spark, tmp):
-    """Three models (small grids), saved, loaded and used by the batch scorer; null inputs give null."""
-    run = M.train_and_compare(spark, _learnable(spark), models=("logistic", "forest"), n_folds=3, parallelism=2, scale=True)
+    """Two models (small grids), saved, loaded and used by the batch scorer; null inputs give null."""
+    grids = {"logistic": [{"C": c, "penalty": "l2"} for c in (1.0, 100.0)],
+             "forest": [{"n_estimators": 50, "max_depth": 10, "min_samples_split": 2, "min_samples_leaf": x} for x in (1, 4)]}
+    run = M.train_and_compare(spark, _learnable(spark), models=("logistic", "forest"), n_folds=3, grids=grids, scale=True)
     rows = {r.Model: r for r in run.comparison.collect()}
     assert set(rows) == {"logistic", "forest"} == set(run.models) and run.best in rows
     for r in rows.values():
@@ -158,39 +160,21 @@ def test_training_leaves_models_that_score_batches(spark, tmp):
     assert vote.columns == [*src.columns, "ensemble_probability"] and vote.filter("ensemble_probability between 0 and 1").count() == src.count()
 
 
-def test_boosting_with_resampling_inside_the_folds(spark):
-    run = M.train_and_compare(spark, _learnable(spark), models=("boosting",), resample_scope="fold", n_folds=2, parallelism=2)
+def test_boosting_with_resampling_inside_the_folds(spark, monkeypatch):
+    """Oversampling runs once a fold (and once for all rows), whatever the number of settings."""
+    from retainer.operators import sampling as SM
+
+    grid = [{"n_estimators": n, "learning_rate": r, "max_depth": 3, "subsample": 1.0} for n in (10, 20) for r in (0.1, 0.2)]
+    calls, smote = [], SM.smote
+    monkeypatch.setattr(SM, "smote", lambda *a: calls.append(1) or smote(*a))
+    run = M.train_and_compare(spark, _learnable(spark), models=("boosting",), resample_scope="fold", n_folds=2, grids={"boosting": grid})
     row = run.comparison.first()
     assert row.Model == "boosting" and 0.0 <= row.CV_F1 <= 1.0
+    assert len(calls) == 4  # two folds, all rows, and the scaling
     with pytest.raises(ValueError):
         M.train_and_compare(spark, _learnable(spark), resample_scope="none")
 
 
-def test_published_grids(spark):
-    sizes = [len(M.logistic_grid(100, True)[1]), len(M.forest_grid(True)[1]), len(M.boosting_grid(True)[1])]
-    assert sizes == [8, 27, 81]
-
-
-def test_training_queries_search_the_published_grids(spark, monkeypatch):
-    """The search itself is cut off after its settings are known."""
-    class Known(Exception):
-        pass
-
-    def known(estimator, grid, *rest):
-        sizes[type(estimator).__name__] = len(grid)
-        if type(estimator).__name__ == last:
-            raise Known
-        return search(estimator, grid[:1], *rest)
-
-    search, whole = M.grid_search, {"LogisticRegression": 8, "RandomForestClassifier": 27, "GBTClassifier": 81}
-    monkeypatch.setattr(M, "grid_search", known)
-    for name, last in (("train_comparison", "GBTClassifier"), ("enhanced_model", "GBTClassifier"), ("batch_score_model", "LogisticRegression")):
-        sizes = {}
-        with pytest.raises(Known):
-            catalog.REGISTRY[name][0](spark, SF_SMALL)
-        assert sizes == ({last: 8} if name == "batch_score_model" else whole)
-
-
 def test_synthetic_customers(spark):
     df = IO.synthetic_customers(spark, 500, noise=False)
     assert df.count() == 500 and df.select("CustomerId").distinct().count() == 500
