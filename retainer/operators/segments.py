@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from retainer import schema as S
 from retainer.functions import columns as C
 from retainer.operators import features as FE
+from retainer.operators import kmeans as KM
 from retainer.session import written
 
 R6 = C.bround6
@@ -29,39 +30,30 @@ def scaled_vectors(df: DataFrame, cols: Sequence[str] = S.CLUSTER_FEATURES,
 
 # C1 / C2 ------------------------------------------------------------------------------------------
 
-def _fit_best(vectors: DataFrame, k: int, seeds: Sequence[int], max_iter: int = 300):
-    """KMeans has no n_init: fit once per seed, keep the lowest inertia."""
-    from pyspark.ml.clustering import KMeans
+def _arrays(vectors: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
 
-    best = None
-    for seed in seeds:
-        m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(vectors)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[0]:
-            best = (cost, m)
-    return best
+    return written(vectors.select(vector_to_array("features").alias("v")), "cluster-vectors")
 
 
 def elbow_curve(vectors: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10,
                 seed: int = 42) -> DataFrame:
-    """(k, inertia) for each k, best of ``n_init`` seeds.  The vectors are
-    written once, as every fit iterates over them."""
-    vectors = written(vectors, "elbow-vectors")
-    rows = []
-    for k in ks:
-        cost, _ = _fit_best(vectors, k, [seed + i for i in range(n_init)])
-        rows.append((int(k), float(cost)))
+    """(k, inertia) for each k, best of ``n_init`` starts; all fits share their passes over the vectors."""
+    best = KM.best_of(KM.fit_runs(_arrays(vectors), list(ks), [seed + i for i in range(n_init)]))
+    rows = [(int(k), float(best[k].inertia)) for k in ks if k in best]
     return vectors.sparkSession.createDataFrame(rows, "k int, inertia double")
 
 
-def fit_segments(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42):
-    return _fit_best(vectors, k, [seed + i for i in range(n_init)])[1]
+def fit_segments(vectors: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> KM.Clusters:
+    """The clusters of least inertia among ``n_init`` starts, numbered in the order of their centres."""
+    return KM.best_of(KM.fit_runs(_arrays(vectors), [k], [seed + i for i in range(n_init)]))[k]
 
 
-def assign_segments(model, vectors: DataFrame) -> DataFrame:
+def assign_segments(model: KM.Clusters, vectors: DataFrame) -> DataFrame:
     """Adds ``CustomerSegment`` (cluster id)."""
-    return model.transform(vectors).withColumnRenamed("cluster", "CustomerSegment")
+    from pyspark.ml.functions import vector_to_array
+
+    return vectors.withColumn("CustomerSegment", KM.nearest(vector_to_array("features"), model.centres))
 
 
 # C3 ------------------------------------------------------------------------------------------------
