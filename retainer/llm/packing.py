@@ -78,25 +78,67 @@ def place(length: int, windows: Windows) -> Iterator[tuple[int, int, int, int]]:
         start += room
 
 
+#: Words that are encoded in one call.
+CALL = 256
+
+
 def word_tokenizer(path: str):
-    """Encoder of lists of words for `TokenStore`."""
+    """Encoder of lists of words for `FlatStore`.
+
+    Many words go through the tokenizer as one text, with a mark of one id between blanks after each.  A blank ends a word for
+    the tokenizer, and a number sign stands alone, so a word's ids are those before its mark.  A word that itself
+    holds the mark is encoded alone.
+    """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-
-    def encode(words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+    mark, mark_id = next((c, ids[0]) for c in "¾½¼²³" if len(ids := tokenizer.encode(c, add_special_tokens=False).ids) == 1)
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [w.decode("utf-8", "replace") for w in words]
+        sizes, parts, own = np.zeros(len(words), np.int64), [], {}
+        for i in [i for i, x in enumerate(texts) if mark in x]:
+            own[i], texts[i] = tokenizer.encode(texts[i], add_special_tokens=False).ids, ""
+        groups = [f" {mark} ".join([*texts[i : i + CALL], ""]) for i in range(0, len(texts), CALL)]
+        for k, e in enumerate(tokenizer.encode_batch_fast(groups, add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            marks = np.flatnonzero(ids == mark_id)
+            first = k * CALL
+            sizes[first : first + len(marks)] = np.diff(marks, prepend=-1) - 1
+            parts.append(np.delete(ids, marks))
+        flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+        if own:
+            ends = np.cumsum(sizes)
+            flat = np.insert(flat, np.repeat([ends[i] for i in own], [len(x) for x in own.values()]), np.concatenate([np.array(x, np.uint32) for x in own.values()]))
+            sizes[list(own)] = [len(x) for x in own.values()]
+        return flat, sizes
 
     return encode
 
 
-_STORES: dict[str, TokenStore] = {}
+class FlatStore(TokenStore):
+    """A store whose `encode` gives (ids of all words, number of ids of each)."""
+
+    def _add(self, words: list[bytes]) -> None:
+        ids, sizes = self.encode(words)
+        n, at = len(ids), len(self.place)
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(n, len(self.ids)), np.uint32)])
+        if at + len(words) > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros(max(len(words), len(self.ends)), np.int64)])
+        self.ids[self.used : self.used + n] = ids
+        self.ends[at : at + len(words)] = self.used + np.cumsum(sizes)
+        self.used += n
+        self.place.update(zip(words, range(at, at + len(words))))
+
+
+_STORES: dict[str, FlatStore] = {}
 
 
-def _store(path: str) -> TokenStore:
+def _store(path: str) -> FlatStore:
     if path not in _STORES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _STORES[path] = TokenStore(word_tokenizer(path))
+        _STORES[path] = FlatStore(word_tokenizer(path))
     return _STORES[path]
 
 

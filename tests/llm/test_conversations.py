@@ -259,3 +259,20 @@ def test_sketches_run_no_python(spark):
 
     df = fingerprint_versions(spark.createDataFrame(DOCS, "doc_id long, text string"))
     assert not re.search("Python|Arrow|Pandas", df._jdf.queryExecution().toString())
+
+
+# operator 8: words encoded together ------------------------------------------------------------------
+
+def test_words_encoded_together_equal_the_tokenizer():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from retainer.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["½ ¾ x½y ½ ²", "a½ b " * 300, "é ́x  y z", "<|endoftext|> a<|endoftext|>b", "", None, "I'll  don't 12,345", "　漢字 ﬁ", " ".join(f"w{i}½"[: 2 + i % 4] for i in range(900))]
+    for column in (texts, texts[:1], []):
+        got = [ids.tolist() for _, ids in packing.document_tokens(pa.array(column, pa.string()), packing.FlatStore(packing.word_tokenizer(path)), 1)]
+        assert got == [plain.encode(x or "", add_special_tokens=False).ids + [1] for x in column]
