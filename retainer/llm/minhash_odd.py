@@ -9,14 +9,16 @@ decide.
 
 Work is kept linear in a group's size:
 
-* documents with equal sets are one class, represented by the smallest doc_id;
-* round 1 compares each representative with one pivot, the best by sketch among the
-  smallest members of its buckets;
-* round 2 looks only at buckets that still hold several components.  Buckets that overlap form
-  an area; in each area the members outside its largest component are compared with all others, in blocks of
-  bounded size, nearest sketches first, and not at all once their components are linked.  Only links leave a block.
-
-A pair that shares a bucket and passes the sketch is thus either compared on full sets or
+* documents with equal sets are one class, whatever their ids (a doc_id that occurs with several texts has several classes);
+* round 1 compares each class with one pivot, the best by sketch among the first members of its buckets;
+* round 2 looks only at buckets that still hold several components, and there only at classes that share a prefix shingle
+  with another component.  A class's shingles are put in one order for all, by rising (bucketed) frequency; of two similar
+  sets at least one shingle lies in the first `size - ceil(0.8 size) + 1` of each, so text that many pages share makes no
+  candidates.  Components that share prefix shingles form an area; in each area the members outside its largest component
+  are compared with all others, in blocks of bounded size, nearest sketches first, and not at all once their
+  components are linked.  Only links leave a block.
+
+A pair that shares a bucket and passes the sketch is thus either compared on full sets, known to be less similar, or
 already connected.  Defaults: a pair at exactly 0.8 shares none of 32 bands of 5 rows with
 probability 3e-6; the sketch rejects it at 5 standard deviations.
 
@@ -104,7 +106,7 @@ def most_differing(k: int, similarity: float) -> int:
 
 
 def _signatures(words: int, bands: int, rows: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.binary()), ("n_shingles", pa.int64()), ("digest", pa.binary()),
                         ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,26 +121,26 @@ def _signatures(words: int, bands: int, rows: int):
                 lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
                          for x in (odd, keys)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
-                     pa.array([None if e else hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                               for s, e in zip(sets, empty, strict=True)], pa.binary()), *lists], schema=schema)
+                    [ids.slice(i, len(sets)), batch.column(2).slice(i, len(sets)), pa.array([len(s) for s in sets], pa.int64()),
+                     pa.array([None if e else _digest(s) for s, e in zip(sets, empty, strict=True)], pa.binary()), *lists], schema=schema)
 
-    return run, "doc_id long, n_shingles long, digest binary, sketch array<long>, keys array<long>"
+    return run, "doc_id long, mark binary, n_shingles long, digest binary, sketch array<long>, keys array<long>"
+
+
+def _digest(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def _sets_of(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for i, data, offsets in textops.chunks(batch.column(1)):
+            for i, data, offsets in textops.chunks(batch.column(0)):
                 sets = shingle_sets(data, offsets, words)
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, len(sets)), batch.column(2).slice(i, len(sets)),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["doc_id", "pivot", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, len(sets)), batch.column(2).slice(i, len(sets)),
+                                                  pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "pivot", "members"])
 
-    return run, "doc_id long, pivot boolean, members array<long>"
+    return run, "node long, pivot boolean, members array<long>"
 
 
 def _differing(a: str, b: str) -> Column:
@@ -148,8 +150,8 @@ def _differing(a: str, b: str) -> Column:
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of `pairs` (u: a pivot, v) whose full sets are similar enough."""
-    a = sets.filter("pivot").select(F.col("doc_id").alias("u"), F.col("members").alias("su"))
-    b = sets.select(F.col("doc_id").alias("v"), F.col("members").alias("sv"))
+    a = sets.filter("pivot").select(F.col("node").alias("u"), F.col("members").alias("su"))
+    b = sets.select(F.col("node").alias("v"), F.col("members").alias("sv"))
     both = F.size(F.array_intersect("su", "sv"))
     return (pairs.join(b, "v").join(a, "u").withColumn("both", both)
             .filter(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("su") + F.size("sv") - F.col("both")))
@@ -195,20 +197,72 @@ def _block_links(percent: int, most: int):
     return run, "u long, v long"
 
 
+#: Counters of shingle frequencies: a fixed 4 MB that is broadcast.
+COUNTERS, CHUNK = 1 << 20, 1 << 16
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds) of a list column."""
+    return column.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())]).astype(np.int64)
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in `sets` (members), by the low bits of their hashes."""
+    def count(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            total += np.bincount((_lists(batch.column(0))[0] & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+        parts = np.minimum(total, 2**31 - 1).astype(np.int32).reshape(-1, CHUNK)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["chunk", "counts"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in rows["counts"].to_pylist())
+        return pa.table({"chunk": rows["chunk"][:1], "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
+
+    schema = "chunk int, counts binary"
+    found = sets.select("members").mapInArrow(count, schema).groupBy("chunk").applyInArrow(add, schema).collect()
+    out = np.zeros(COUNTERS, np.int32)
+    for r in found:
+        out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int32)
+    return out
+
+
+def _prefixes(sent, percent: int):
+    """(token, node, c) of each set's prefix: its rarest shingles, of which a similar set has one in its own prefix.
+
+    A shingle counted once occurs in no other set and is left out."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            nodes, cs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            flat, ends = _lists(batch.column(2))
+            often = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            row = np.repeat(np.arange(len(nodes)), np.diff(ends))
+            order = np.lexsort((flat, often, row))
+            size = np.diff(ends)[row]
+            kept = order[(np.arange(len(flat)) - ends[:-1][row] < size + (-size * percent // 100) + 1) & (often[order] > 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[kept].view(np.int64)), pa.array(nodes[row[kept]]), pa.array(cs[row[kept]])], names=["token", "node", "c"])
+
+    return run, "token long, node long, c long"
+
+
 def _rest(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, most: int, block: int) -> DataFrame:
-    """Links between components that share a bucket, in blocks of at most about `block` documents a side."""
-    sizes = placed.groupBy("key", "c").agg(F.min("doc").alias("lo"))
-    several = sizes.groupBy("key").agg(F.min("lo").alias("lo"), F.count("*").alias("parts")).filter("parts > 1")
-    open_ = materialize(placed.join(several.select("key", "lo"), "key").select("doc", "c", "lo").distinct(), "odd-open")
-    areas = components(open_.select(F.col("doc").alias("u"), F.col("lo").alias("v")))
-    members = materialize(open_.select("doc", "c").distinct().join(areas, F.col("doc") == F.col("node"))
-                          .select("doc", "c", F.col("component").alias("area")), "odd-members")
+    """Links between components that share a bucket, in blocks of at most about `block` classes a side."""
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
+    open_ = placed.join(several, "key", "left_semi").select("node", "c").distinct()
+    held = materialize(open_.join(sets.select("node", "members"), "node").select("node", "c", "members"), "odd-open")
+    run, schema = _prefixes(held.sparkSession.sparkContext.broadcast(_frequencies(held)), percent)
+    tokens = materialize(held.mapInArrow(run, schema), "odd-prefixes")
+    met = materialize(tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token", "lo"), "odd-met")
+    near = materialize(tokens.join(met, "token").select("node", "c", "lo").distinct(), "odd-near")
+    areas = components(near.select(F.col("c").alias("u"), F.col("lo").alias("v")).distinct())
+    members = near.select("node", "c").distinct().join(areas.withColumnRenamed("node", "u"), F.col("c") == F.col("u")).select("node", "c", F.col("component").alias("area"))
+    members = materialize(members, "odd-members")
     counts = members.groupBy("area", "c").agg(F.count("*").alias("n"))
     area = (counts.groupBy("area").agg(F.max(F.struct("n", "c")).alias("m"), F.sum("n").alias("n"))
             .select("area", F.col("m.c").alias("main"), F.ceil((F.col("n") - F.col("m.n")) / block).cast("int").alias("nl"),
                     F.ceil(F.col("n") / block).cast("int").alias("nr")).filter("nl > 0"))
-    full = (members.join(area, "area").join(sketches, "doc")
-            .join(sets.select(F.col("doc_id").alias("doc"), "members"), "doc"))
+    full = members.join(area, "area").join(sketches, "node").join(held.select("node", "members"), "node").withColumnRenamed("node", "doc")
     columns = ["area", "doc", "c", "sketch", "members"]
     place = F.xxhash64("doc")
     left = full.filter("c <> main").select(*columns, F.lit(0).alias("side"), F.pmod(place, F.col("nl")).cast("int").alias("li"),
@@ -225,35 +279,41 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, bands: i
     k = bands * rows
     most = most_differing(k, max(0.0, percent / 100 - slack))
     source = only(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    source = source.withColumn("mark", F.unhex(F.md5(F.col("text").cast("binary"))))  # tells texts of one doc_id apart
     run, schema = _signatures(words, bands, rows)
     signed = materialize(source.mapInArrow(run, schema), "odd-signed")
+    # a class's node is a number of its own, fixed when the table is written; its label is its smallest doc_id
     classes = materialize(
         signed.filter("digest is not null and doc_id is not null").groupBy("digest")
-        .agg(F.min("doc_id").alias("doc"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "odd-classes")
-    texts = source.filter("doc_id is not null")
-    member = classes.select("doc", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.min("doc").alias("pivot"), F.count("*").alias("n")).filter("n > 1 and pivot is not null")
-    buckets = materialize(member.join(shared.select("key", "pivot"), "key").select("key", "doc", "pivot"), "odd-buckets")
+        .agg(F.min(F.struct("doc_id", "mark")).alias("m"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+        .select("digest", F.col("m.doc_id").alias("doc"), F.col("m.mark").alias("mark"), "sketch", "keys")
+        .withColumn("node", F.monotonically_increasing_id()), "odd-classes")
+    member = classes.select("node", F.explode("keys").alias("key"))
+    shared = member.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1")
+    buckets = materialize(member.join(shared.select("key", "pivot"), "key").select("key", "node", "pivot"), "odd-buckets")
     run, schema = _sets_of(words)
-    wanted = buckets.groupBy("doc").agg(F.max(F.col("doc") == F.col("pivot")).alias("pivot")).withColumnRenamed("doc", "doc_id")
-    sets = materialize(texts.join(wanted, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "pivot")
-                       .mapInArrow(run, schema), "odd-sets")
-    sketches = classes.select("doc", "sketch")
-    stars = buckets.filter("doc <> pivot").select("doc", "pivot").distinct()
-    best = (stars.join(sketches, "doc")
-            .join(sketches.select(F.col("doc").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+    wanted = buckets.groupBy("node").agg(F.max(F.col("node") == F.col("pivot")).alias("pivot"))
+    wanted = wanted.join(classes.select("node", F.col("doc").alias("doc_id"), "mark"), "node")
+    texts = source.join(wanted, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    sets = materialize(texts.select("text", "node", "pivot").mapInArrow(run, schema), "odd-sets")
+    sketches = classes.select("node", "sketch")
+    stars = buckets.filter("node <> pivot").select("node", "pivot").distinct()
+    best = (stars.join(sketches, "node")
+            .join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("other")), "pivot")
             .withColumn("d", _differing("sketch", "other")).filter(F.col("d") <= most)
-            .groupBy("doc").agg(F.min(F.struct("d", "pivot")).alias("b"))
-            .select(F.col("b.pivot").alias("u"), F.col("doc").alias("v")))
+            .groupBy("node").agg(F.min(F.struct("d", "pivot")).alias("b"))
+            .select(F.col("b.pivot").alias("u"), F.col("node").alias("v")))
     first = materialize(_verified(best, sets, percent), "odd-links")
     joined = components(first)
     placed = materialize(
-        buckets.join(joined, buckets.doc == joined.node, "left")
-        .select("key", "doc", F.coalesce("component", "doc").alias("c")), "odd-placed")
+        buckets.join(joined.withColumnRenamed("node", "u"), F.col("node") == F.col("u"), "left")
+        .select("key", "node", F.coalesce("component", "node").alias("c")), "odd-placed")
     second = _rest(placed, sketches, sets, percent, most, block)
     linked = components(materialize(first.union(second), "odd-links"))
-    placed_class = (classes.select("digest", "doc").join(linked, F.col("doc") == F.col("node"), "left")
-                    .select("digest", F.coalesce("component", "doc").alias("c")))
+    grouped = classes.select("digest", "doc", "node").join(linked, "node", "left").select("digest", "doc", F.coalesce("component", "node").alias("g"))
+    grouped = materialize(grouped, "odd-groups")
+    labels = grouped.groupBy("g").agg(F.min("doc").alias("c"))
+    placed_class = grouped.join(labels, "g").select("digest", "c")
     return (signed.select("doc_id", "n_shingles", "digest").join(placed_class, "digest", "left")
             .select("doc_id", "n_shingles",
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))

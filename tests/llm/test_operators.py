@@ -475,6 +475,35 @@ def test_near_copies_that_the_pivot_does_not_reach(spark):
     assert {r["doc_id"]: r["component_id"] for r in near_duplicates(table, block=8).collect()} == want
 
 
+def test_ids_with_several_texts_link_each_of_them(spark):
+    from retainer.llm.minhash_odd import near_duplicates
+
+    rng = np.random.default_rng(3)
+    a, b = ([f"{p}{x}" for x in rng.integers(0, 10**6, 200)] for p in "ab")
+    texts = [(1, a), (1, b), (2, a[1:]), (3, b[1:]), (4, a[2:]), (1, a), (5, ["B" + x[1:] for x in b])]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in texts], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates(rows).collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (2, 1), (3, 1), (4, 1), (5, 1)]
+
+
+def test_template_pages_make_no_areas(spark, monkeypatch):
+    """Pages that share two thirds of their text are no candidates; chains and near copies among them are found."""
+    from retainer.llm import minhash_odd
+
+    rng = np.random.default_rng(5)
+    template = [f"t{x}" for x in rng.integers(0, 10**6, 400)]
+    pages = [template + [f"p{x}" for x in rng.integers(0, 10**9, 200)] for _ in range(200)]
+    for i in range(6):  # a chain: each page like the next, the ends unlike
+        pages.append(pages[-1][:-60] + [f"q{x}" for x in rng.integers(0, 10**9, 60)] if i else pages[7][:])
+    rows = [(i, " ".join(w)) for i, w in enumerate(pages)]
+    sets = {i: {tuple(w[k : k + 2]) for k in range(len(w) - 1)} for i, w in enumerate(pages)}
+    linked = [(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    blocks, plain = [], minhash_odd._rest
+    monkeypatch.setattr(minhash_odd, "_rest", lambda *a: blocks.append(0) or plain(*a))
+    got = {r["doc_id"]: r["component_id"] for r in minhash_odd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == components_of(list(sets), linked) and len(linked) >= 6 and blocks
+
+
 def test_odd_sketch_estimates_similarity():
     from retainer.llm.minhash_odd import Sketcher, most_differing
 
