@@ -11,10 +11,10 @@ Work is kept linear in a group's size:
 
 * documents with equal sets are one class, whatever their ids (a doc_id that occurs with several texts has several classes);
 * round 1 compares each class with one pivot, the best by sketch among the first members of its buckets;
-* round 2 looks only at buckets that still hold several components, and there only at classes that share a prefix shingle
+* round 2 looks only at fields, components that buckets connect, and there only at classes that share a prefix shingle
   with another component.  A class's shingles are put in one order for all, by rising (bucketed) frequency; of two similar
   sets at least one shingle lies in the first `size - ceil(0.8 size) + 1` of each, so text that many pages share makes no
-  candidates.  Components that share prefix shingles form an area; in each area the members outside its largest component
+  candidates.  Components linked by such candidates form an area; in each area the members outside its largest component
   are compared with all others, in blocks of bounded size, nearest sketches first, and not at all once their
   components are linked.  Only links leave a block.
 
@@ -230,27 +230,39 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
 def _prefixes(sent, percent: int):
     """(token, node, c) of each set's prefix: its rarest shingles, of which a similar set has one in its own prefix.
 
-    A shingle counted once occurs in no other set and is left out."""
+    A token stands for a shingle in the set's field (the components that open buckets connect).  A shingle counted once occurs in no other set and is left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = sent.value
         for batch in batches:
             nodes, cs = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            flat, ends = _lists(batch.column(2))
+            flat, ends = _lists(batch.column(3))
+            keys, bounds = _lists(batch.column(2))
             often = counts[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
             row = np.repeat(np.arange(len(nodes)), np.diff(ends))
             order = np.lexsort((flat, often, row))
             size = np.diff(ends)[row]
             kept = order[(np.arange(len(flat)) - ends[:-1][row] < size + (-size * percent // 100) + 1) & (often[order] > 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(flat[kept].view(np.int64)), pa.array(nodes[row[kept]]), pa.array(cs[row[kept]])], names=["token", "node", "c"])
+            for i in range(0, len(kept), 1 << 16):
+                part = kept[i : i + (1 << 16)]
+                each = np.diff(bounds)[row[part]]
+                at = np.repeat(np.arange(len(part)), each)
+                key = keys[bounds[:-1][row[part]][at] + np.arange(len(at)) - np.repeat(np.cumsum(each) - each, each)]
+                token = textops.mix(flat[part][at] ^ textops.mix(key))
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(nodes[row[part]][at]), pa.array(cs[row[part]][at])], names=["token", "node", "c"])
 
     return run, "token long, node long, c long"
 
 
 def _rest(placed: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, most: int, block: int) -> DataFrame:
     """Links between components that share a bucket, in blocks of at most about `block` classes a side."""
-    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key")
-    open_ = placed.join(several, "key", "left_semi").select("node", "c").distinct()
-    held = materialize(open_.join(sets.select("node", "members"), "node").select("node", "c", "members"), "odd-open")
+    several = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("key", "lo")
+    open_ = materialize(placed.join(several, "key").select("node", "c", "lo").distinct(), "odd-met")
+    # a component hangs on the least of its buckets' minima; only edges between minima remain
+    minima = open_.groupBy("c").agg(F.min("lo").alias("least"))
+    between = open_.select("c", "lo").distinct().join(minima, "c").select(F.col("least").alias("u"), F.col("lo").alias("v"))
+    fields = components(between.union(minima.select(F.col("c").alias("u"), F.col("least").alias("v"))).distinct())
+    open_ = open_.select("node", "c").distinct().join(fields.select(F.col("node").alias("c"), F.array("component").alias("keys")), "c")
+    held = materialize(open_.join(sets.select("node", "members"), "node").select("node", "c", "keys", "members"), "odd-open")
     run, schema = _prefixes(held.sparkSession.sparkContext.broadcast(_frequencies(held)), percent)
     tokens = materialize(held.mapInArrow(run, schema), "odd-prefixes")
     met = materialize(tokens.groupBy("token").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("token", "lo"), "odd-met")
