@@ -7,16 +7,7 @@ table has one row per class; it is counted before it is broadcast
 (``stats.attach``).
 
 SMOTE finds k exact nearest neighbours inside the minority class without
-pairing all points:
-
-1. every point is projected on the two principal axes and ranked along a
-   Z-order curve over them; blocks of consecutive ranks give each point >= k
-   real candidates, whose k-th distance ``r`` bounds its true k-th neighbour
-   distance from above;
-2. a band join on both projections (|p_x - p_y| <= r_x, since a projection
-   on a unit vector never lengthens a distance) -- an equi-join on bins of
-   the projections -- yields a candidate set holding every true neighbour;
-3. exact distances, top k per point by a window partitioned by the point.
+pairing all points, by Voronoi cells around sampled pivots (``neighbours``).
 
 Identical vectors are collapsed first (with a multiplicity), so a hot spot
 of copies costs one row, not a quadratic block.
@@ -26,10 +17,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retainer.functions import columns as C
+from retainer.operators.neighbours import knn_within
 from retainer.operators.stats import attach, exact_quantiles, row_positions, running_totals
 from retainer.session import written
 
@@ -85,122 +77,9 @@ def class_distribution(df: DataFrame, label: str = "Exited", stage: str | None =
 
 # D3 ----------------------------------------------------------------------------------------------
 
-N_PROJ = 2          # projections whose bins form the band-join key
 CHUNK = 4096        # synthetic rows generated per task-sized chunk
 
 
-def _dist2(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, v: acc + v)
-
-
-def _dot(a: Column, v: Sequence[float]) -> Column:
-    return F.aggregate(F.zip_with(a, F.array(*[F.lit(c) for c in v]), lambda x, y: x * y),
-                       F.lit(0.0), lambda acc, x: acc + x)
-
-
-def _principal_directions(points: DataFrame, dim: int, n: int) -> list[list[float]]:
-    """Top-n principal axes (unit vectors) of the vectors; a distributed
-    covariance fit whose result is n x dim numbers.  Vectors without any
-    spread have no principal axis: the coordinate axes serve."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector
-
-    spread = points.agg(*[F.max(F.col("_v")[i]) - F.min(F.col("_v")[i]) for i in range(dim)]).first()
-    if dim < n or sum(1 for x in spread if x) < n:
-        return [[float(i == j % dim) for i in range(dim)] for j in range(n)]
-    vec = points.select(array_to_vector("_v").alias("features"))
-    pc = PCA(k=n, inputCol="features").fit(vec).pc.toArray()
-    return [[float(pc[i, j]) for i in range(dim)] for j in range(n)]
-
-
-def _morton(a: Column, b: Column, bits: int = 16) -> Column:
-    """Interleave the low ``bits`` bits of two non-negative ints (Z-order)."""
-    code = F.lit(0).cast("bigint")
-    for i in range(bits):
-        code = code.bitwiseOR(F.shiftleft(F.shiftright(a, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i))
-        code = code.bitwiseOR(F.shiftleft(F.shiftright(b, i).bitwiseAND(F.lit(1)).cast("bigint"), 2 * i + 1))
-    return code
-
-
-def knn_within(points: DataFrame, k: int, dim: int, block: int = 16) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean) among distinct vectors with
-    multiplicities.  ``points``: (_id, _v array<double>, _m copies).
-    Returns (_id, nbr_rank 1..k, nbr_id, dist); a point's own copies come
-    first at distance 0 and a neighbour with c copies fills c ranks.
-    Points with at least k other copies need no search and are skipped.
-
-    Projections are on the principal axes, so the band join box is tight
-    along the directions where the data actually spreads."""
-    dirs = _principal_directions(points, dim, N_PROJ)
-    p = points.select("_id", "_v", "_m", *[_dot(F.col("_v"), d).alias(f"_p{j}") for j, d in enumerate(dirs)])
-    # 1. upper bound r of the k-th distance from blocks of consecutive
-    #    positions along a Z-order curve over the first two projections
-    rng = C.row_scalars(p.agg(*[F.min(f"_p{j}").alias(f"lo{j}") for j in range(2)],
-                              *[F.max(f"_p{j}").alias(f"hi{j}") for j in range(2)]))
-
-    def q16(j: int) -> Column:
-        span = rng[f"hi{j}"] - rng[f"lo{j}"]
-        z = F.when(span > 0, (F.col(f"_p{j}") - rng[f"lo{j}"]) / span).otherwise(F.lit(0.0))
-        return F.least(F.floor(z * F.lit(65535.0)), F.lit(65535)).cast("int")
-
-    zp = p.withColumns({"_q0": q16(0), "_q1": q16(1)})
-    zp = zp.withColumn("_z", _morton(F.col("_q0"), F.col("_q1"))).drop("_q0", "_q1")
-    ranked = row_positions(zp, [F.col("_z"), F.col("_id")], "_rank")
-    blk = F.floor(F.col("_rank") / F.lit(block))
-    a = ranked.select("_id", "_v", "_m", blk.alias("_b"))
-    b = ranked.select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_m").alias("_nm"),
-                      F.explode(F.array(blk - 1, blk, blk + 1)).alias("_b"))
-    cand = (a.join(b, "_b").where(F.col("_id") != F.col("_nid"))
-             .select("_id", "_m", "_nm", F.sqrt(_dist2(F.col("_v"), F.col("_nv"))).alias("_d")))
-    upto = Window.partitionBy("_id").orderBy("_d", "_nm").rowsBetween(Window.unboundedPreceding, 0)
-    cov = cand.withColumn("_acc", F.sum("_nm").over(upto) + F.col("_m") - F.lit(1))
-    radius = cov.where(F.col("_acc") >= k).groupBy("_id").agg(F.min("_d").alias("_r"))
-    # a little slack so rounding in the projections never drops a true neighbour
-    search = (p.where(F.col("_m") - 1 < k).join(radius, "_id")
-               .withColumn("_rb", F.col("_r") * F.lit(1 + 1e-9) + F.lit(1e-12)))
-    # 2. exact band join: |p_j(x) - p_j(y)| <= r for every projection j.  A point
-    #    with a large r looks in bins of its own, doubled width (its level), so it
-    #    meets at most 3 bins a projection; levels are at most the exponents of a double
-    width = search.agg(F.percentile_approx("_r", 0.75).alias("w")).select("w").scalar()
-    w = F.greatest(F.coalesce(width, F.lit(1.0)), F.lit(1e-9))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.col("_rb") / w))).cast("int")
-    search = written(search.withColumn("_lv", level).withColumn("_w", w * F.pow(F.lit(2.0), F.col("_lv"))), "knn-search")
-    levels = search.select("_lv", "_w").distinct()
-
-    def bins(j: int) -> Column:
-        pj = F.col(f"_p{j}")
-        return F.sequence(F.floor((pj - F.col("_rb")) / F.col("_w")).cast("bigint"),
-                          F.floor((pj + F.col("_rb")) / F.col("_w")).cast("bigint"))
-
-    qx = search.select("_id", "_v", "_r", "_rb", "_lv", *[f"_p{j}" for j in range(N_PROJ)],
-                       *[bins(j).alias(f"_bins{j}") for j in range(N_PROJ)])
-    for j in range(N_PROJ):
-        qx = qx.withColumn(f"_k{j}", F.explode(f"_bins{j}")).drop(f"_bins{j}")
-    by_level = F.sort_array(levels.agg(F.collect_set(F.struct("_lv", "_w")).alias("l")).select("l").scalar())
-    qy = (p.withColumn("_l", F.explode(by_level))
-          .select(F.col("_id").alias("_nid"), F.col("_v").alias("_nv"), F.col("_m").alias("_nm"), F.col("_l._lv").alias("_lv"),
-                  *[F.col(f"_p{j}").alias(f"_np{j}") for j in range(N_PROJ)],
-                  *[F.floor(F.col(f"_p{j}") / F.col("_l._w")).cast("bigint").alias(f"_k{j}") for j in range(N_PROJ)]))
-    near = F.lit(True)
-    for j in range(N_PROJ):
-        near = near & (F.abs(F.col(f"_p{j}") - F.col(f"_np{j}")) <= F.col("_rb"))
-    pairs = (qx.join(qy, ["_lv", *[f"_k{j}" for j in range(N_PROJ)]])
-               .where((F.col("_id") != F.col("_nid")) & near)
-               .select("_id", "_nid", "_nm", F.sqrt(_dist2(F.col("_v"), F.col("_nv"))).alias("_d"), "_r")
-               .where(F.col("_d") <= F.col("_r"))
-               .drop("_r"))
-    # 3. ranks, counting copies
-    own = points.where(F.col("_m") > 1).select(
-        "_id", F.col("_id").alias("_nid"), (F.col("_m") - 1).alias("_nm"), F.lit(0.0).alias("_d"))
-    allc = pairs.unionByName(own)
-    order = Window.partitionBy("_id").orderBy("_d", F.col("_nid") != F.col("_id"), "_nid")
-    c = allc.withColumn("_end", F.sum("_nm").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    c = c.withColumn("_start", F.col("_end") - F.col("_nm") + 1).where(F.col("_start") <= k)
-    ex = c.select("_id", "_nid", "_d",
-                  F.explode(F.sequence(F.col("_start"), F.least(F.col("_end"), F.lit(k)))).alias("nbr_rank"))
-    return ex.select("_id", F.col("nbr_rank").cast("int"), F.col("_nid").alias("nbr_id"), F.col("_d").alias("dist"))
-
-
 def smote(df: DataFrame, features: Sequence[str], label: str = "Exited", k: int = 5,
           seed: int = 42) -> DataFrame:
     """Oversample the minority class to the majority count.

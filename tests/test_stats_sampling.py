@@ -195,3 +195,44 @@ def test_smote_does_not_depend_on_the_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert len(made[0]) == 120 and made[0] == made[1]
+
+
+def _slab(n, seed=12):
+    """20 columns: flags that carry most of the spread, and two narrow columns in which the points differ."""
+    rng = np.random.default_rng(seed)
+    pts = np.zeros((n, 20))
+    pts[:, :3] = rng.integers(0, 2, (n, 3)) * 10.0
+    pts[:, 3:5] = rng.random((n, 2))
+    pts[: n // 3, 3:5] *= 0.001                 # a third of the points in one corner
+    return pts
+
+
+def _frame(spark, pts):
+    return spark.createDataFrame([(i, [float(x) for x in v], 1) for i, v in enumerate(pts)], "_id long, _v array<double>, _m long")
+
+
+def test_knn_in_split_cells(spark):
+    pts = _slab(1500)
+    pts[700:703] = pts[699] * 1e6              # far points, some alike
+    got = {}
+    for r in SM.knn_within(_frame(spark, pts), 4, cell=20, fan=6).collect():
+        got.setdefault(r._id, []).append((r.nbr_rank, r.dist))
+    d = np.sqrt(((pts[:, None] - pts[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    want = np.sort(d, axis=1)[:, :4]
+    assert all(np.allclose([x for _, x in sorted(got[i])], want[i]) for i in range(1500))
+
+
+def test_knn_of_few_and_no_points(spark):
+    assert SM.knn_within(_frame(spark, []), 3).count() == 0
+    assert SM.knn_within(_frame(spark, [[1.0, 2.0]]), 3).count() == 0
+    alike = _frame(spark, [[1.0]] * 100)        # cells that no pivot can split
+    assert [r[0] for r in SM.knn_within(alike, 3).groupBy("_id").count().select("count").distinct().collect()] == [3]
+
+
+def test_knn_compares_a_bounded_number_of_points_each(spark):
+    from retainer.operators.neighbours import candidate_pairs
+
+    few, many = (candidate_pairs(_frame(spark, _slab(n)), 5) / n for n in (1500, 6000))
+    print(f"candidates a point: {few:.0f} of 1,500 points, {many:.0f} of 6,000")
+    assert many < 1.5 * few and many < 600
