@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from retainer import schema as S
 from retainer.functions import columns as C
-from retainer.operators.stats import attach, exact_quantiles
+from retainer.operators.comoments import correlations
+from retainer.operators.stats import BROADCAST_ROWS, attach, exact_quantiles
 from retainer.session import written
 
 R6 = C.bround6
@@ -135,18 +136,10 @@ def segment_density(df: DataFrame, features: Sequence[str] = ("Age", "Balance",
 # E8 ---------------------------------------------------------------------------------------------
 
 def correlation_pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson r of every pair (a, b) with b before a in ``cols``, from one
-    aggregate pass; constant columns give NULL (never a division error)."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[:i]]
-    aggs = []
-    for k, (a, b) in enumerate(pairs):
-        num = F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double"))
-        den = F.stddev_pop(F.col(a).cast("double")) * F.stddev_pop(F.col(b).cast("double"))
-        aggs.append(F.try_divide(num, F.when(den != 0, den)).alias(f"p{k}"))
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{a}', '{b}', p{k}" for k, (a, b) in enumerate(pairs))
-    return (wide.selectExpr(f"stack({len(pairs)}, {stack}) AS (col_a, col_b, r)")
-                .select("col_a", "col_b", R6(F.col("r")).alias("r")))
+    """Pearson r of every pair (a, b) with b before a in ``cols``, over the rows that have both, from
+    one pass of mergeable co-moments; constant columns give NULL."""
+    names = F.array(*[F.lit(c) for c in cols])
+    return correlations(df, cols).select(names[F.col("i")].alias("col_a"), names[F.col("j")].alias("col_b"), R6(F.col("r")).alias("r"))
 
 
 # E9 ---------------------------------------------------------------------------------------------
@@ -326,11 +319,19 @@ def nested_record(spark, parts: dict[str, DataFrame]) -> DataFrame:
 def profile(df: DataFrame) -> DataFrame:
     """Row count, column count, NULL cells and duplicate rows in one record.
 
-    Duplicates = rows minus distinct rows; the distinct count is a
-    distributed group-by over all columns (NULLs compare equal)."""
+    Duplicates = rows minus distinct rows (NULLs compare equal).  Two 64-bit hashes of each row are counted, so
+    a row costs 16 bytes in the shuffle whatever its width; only rows whose hashes occur more than once are compared
+    in full."""
     nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
     base = df.agg(F.count(F.lit(1)).alias("n_rows"), nulls.cast("bigint").alias("null_cells"))
-    distinct_rows = df.groupBy(*df.columns).agg(F.lit(1).alias("_x")).agg(F.count(F.lit(1)).alias("d"))
-    d = distinct_rows.select("d").scalar()
+    row = [F.col(c) for c in df.columns]
+    gaps = F.array(*[c.isNull() for c in row])              # hashes pass over nulls: their places count too
+    marked = df.withColumns({"_h1": F.xxhash64(F.lit(1), gaps, *row), "_h2": F.xxhash64(F.lit(2), *reversed(row), gaps)})
+    prints = written(marked.groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n")), "row-prints")
+    again = prints.where("_n > 1")
+    few = F.broadcast(again) if again.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else again
+    alike = marked.join(few.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy(*df.columns).agg(F.lit(1).alias("_x"))
+    once = prints.where("_n = 1").agg(F.count(F.lit(1)).alias("d")).select("d").scalar()
+    more = alike.agg(F.count(F.lit(1)).alias("d")).select("d").scalar()
     return base.select("n_rows", F.lit(len(df.columns)).alias("n_columns"), "null_cells",
-                       (F.col("n_rows") - d).alias("duplicate_rows"))
+                       (F.col("n_rows") - once - more).alias("duplicate_rows"))

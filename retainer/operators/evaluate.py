@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from retainer import schema as S
@@ -101,6 +101,53 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "p") -> DataFram
                     R6(F.try_divide(F.col("cum_pos"), F.col("P"))).alias("tpr"))
 
 
+def roc_points(df: DataFrame, label: str = "label", score: str = "p", rule: str = "collinear") -> DataFrame:
+    """The ROC curve without the points that its shape does not need, from the origin (threshold null):
+    threshold, cum_neg, cum_pos, fpr, tpr, n_scores (distinct scores, hence points before thinning).
+
+    ``collinear`` drops every point on the straight line between its neighbours; ``equal_steps``
+    drops those that repeat the step before them (but never the first score), as plotting libraries do.
+    Either way the polyline and its area stay the same.  The next step of a slice's last score
+    is the first of the next slice.  Rows without a score take no part."""
+    if rule not in ("collinear", "equal_steps"):
+        raise ValueError(f"unknown rule: {rule}")
+    g = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+        F.count_if(F.coalesce(F.col(label) == 1, F.lit(False))).alias("pos"), F.count(F.lit(1)).alias("n"))
+    g = g.select("threshold", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    r = running_totals(g, [], [F.col("threshold").desc()], ["pos", "neg"], prefix="cum_", ahead=["pos", "neg"])
+    wide = {c: F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "next_pos", "next_neg")}
+    if rule == "collinear":
+        turns = wide["pos"] * wide["next_neg"] != wide["next_pos"] * wide["neg"]
+    else:
+        turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg")) \
+            | ((F.col("pos") == F.col("cum_pos")) & (F.col("neg") == F.col("cum_neg")))
+    kept = r.where(F.col("next_pos").isNull() | turns).select("threshold", "cum_neg", "cum_pos")
+    zero = F.lit(0).cast("bigint")
+    start = df.sparkSession.range(1).select(F.lit(None).cast(g.schema["threshold"].dataType).alias("threshold"), zero.alias("cum_neg"), zero.alias("cum_pos"))
+    t = C.row_scalars(g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.count(F.lit(1)).alias("scores")))
+    return kept.unionByName(start).select(
+        "threshold", "cum_neg", "cum_pos", F.try_divide("cum_neg", t["N"]).alias("fpr"),
+        F.try_divide("cum_pos", t["P"]).alias("tpr"), t["scores"].alias("n_scores"))
+
+
+def roc_sketch(df: DataFrame, label: str = "label", score: str = "p", bins: int = 1000) -> DataFrame:
+    """The ROC curve of scores in [0, 1] counted in ``bins`` equal bins, for a curve of bounded length: threshold
+    (lower end of the bin), fpr, tpr, and ``area_error``, which the area under the sketch is at most off by.
+
+    Counts of bins add up over any parts of the rows.  Inside a bin the true curve lies in the box of its
+    negatives and positives, and its diagonal is at most half the box away: the error is the sum of half boxes."""
+    at = F.least(F.greatest(F.floor(F.col(score) * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    g = df.where(F.col(score).isNotNull()).groupBy(at.alias("bin")).agg(
+        F.count_if(F.coalesce(F.col(label) == 1, F.lit(False))).alias("pos"), F.count(F.lit(1)).alias("n"))
+    g = g.select("bin", "pos", (F.col("n") - F.col("pos")).alias("neg"))
+    upto = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)      # at most ``bins`` rows
+    every = Window.partitionBy()
+    x = g.select("bin", F.sum("pos").over(upto).alias("cp"), F.sum("neg").over(upto).alias("cn"), F.sum("pos").over(every).alias("P"),
+                 F.sum("neg").over(every).alias("N"), F.sum(F.col("pos") * F.col("neg").cast("double")).over(every).alias("boxes"))
+    return x.select((F.col("bin") / F.lit(float(bins))).alias("threshold"), F.try_divide("cn", "N").alias("fpr"), F.try_divide("cp", "P").alias("tpr"),
+                    F.try_divide(F.col("boxes") / 2, F.col("P") * F.col("N").cast("double")).alias("area_error"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p") -> DataFrame:
     return auc_by(df, [], label, score).select(R6(F.col("roc_auc")).alias("roc_auc"))
 

@@ -97,6 +97,62 @@ def name_clusters(profile: DataFrame, segment: str = "CustomerSegment",
     return named
 
 
+def assign_least(cost: Sequence[Sequence[float]]) -> list[int]:
+    """The column of each row in a one-to-one assignment of least total cost; rows are at most as many as columns.
+
+    Rows enter one by one; each enters by the cheapest chain of reassignments, found with
+    prices on rows and columns that keep reduced costs from going below 0."""
+    rows, cols = len(cost), len(cost[0]) if cost else 0
+    holder, row_price, col_price = [-1] * cols, [0.0] * rows, [0.0] * cols
+    for new in range(rows):
+        dist, via, done = [float("inf")] * cols, [-1] * cols, [False] * cols
+        row, base, last = new, 0.0, -1
+        while True:
+            for j in range(cols):
+                through = base + cost[row][j] - row_price[row] - col_price[j]
+                if not done[j] and through < dist[j]:
+                    dist[j], via[j] = through, last
+            last = min((j for j in range(cols) if not done[j]), key=lambda j: (dist[j], j))
+            done[last], base = True, dist[last]
+            if holder[last] < 0:
+                break
+            row = holder[last]
+        for j in range(cols):
+            if done[j] and holder[j] >= 0:
+                row_price[holder[j]] += base - dist[j]
+                col_price[j] -= base - dist[j]
+        row_price[new] += base
+        while last >= 0:
+            before = via[last]
+            holder[last] = holder[before] if before >= 0 else new
+            last = before
+    place = {r: j for j, r in enumerate(holder) if r >= 0}
+    return [place[i] for i in range(rows)]
+
+
+def carry_names(profile: DataFrame, former: DataFrame, scale: Sequence[float], cols: Sequence[str],
+                segment: str = "CustomerSegment") -> DataFrame:
+    """Names of a refit's clusters, whatever their number: each takes the name of the former cluster it is
+    matched to, one to one, with the least sum of squared distances of the means over ``scale``.
+
+    Both tables have one row a cluster (``segment``, ``avg_<col>``; ``former`` also ``SegmentName``).
+    Clusters beyond the former ones are named ``Segment <id>``; names whose cluster is gone fall away.  Means that are null count as 0."""
+    def means(table: DataFrame, *first: str) -> list:
+        return sorted(table.select(*first, *[F.coalesce(F.col(f"avg_{c}"), F.lit(0.0)).alias(f"avg_{c}") for c in cols]).collect())
+
+    new, old = means(profile, segment), means(former, segment, "SegmentName")      # one row a cluster each
+    def far(a, b) -> float:
+        return sum(((x - y) / s) ** 2 if s else 0.0 for x, y, s in zip(a[1:], b[2:], scale, strict=True))
+
+    names = {r[0]: f"Segment {r[0]}" for r in new}
+    if len(new) <= len(old):
+        names |= {new[i][0]: old[j][1] for i, j in enumerate(assign_least([[far(a, b) for b in old] for a in new]))}
+    else:
+        names |= {new[j][0]: old[i][1] for i, j in enumerate(assign_least([[far(a, b) for a in new] for b in old]))}
+    kind = profile.schema[segment].dataType.simpleString()
+    return profile.sparkSession.createDataFrame(sorted(names.items()), f"{segment} {kind}, SegmentName string")
+
+
 # C5 ------------------------------------------------------------------------------------------------
 
 def pca_projection(vectors: DataFrame, k: int = 2, keep: Sequence[str] = ("CustomerId",)) -> DataFrame:
@@ -111,16 +167,24 @@ def pca_projection(vectors: DataFrame, k: int = 2, keep: Sequence[str] = ("Custo
 
 # C6 / C7 live in functions.columns.rule_segment ------------------------------------------------------
 
-def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42) -> DataFrame:
+def kmeans_segments(df: DataFrame, k: int = 4, n_init: int = 10, seed: int = 42, former: DataFrame | None = None) -> DataFrame:
     """C2 + C3 + C4 end to end: cluster the scaled features, profile the
     clusters, name them; returns CustomerId, CustomerSegment, SegmentName.
 
+    ``former``: an earlier run's profile with its names, over ``S.CLUSTER_FEATURES``: clusters then
+    keep the names of those they match (``carry_names``).
+
     The profile columns travel with the vectors, so no join back to the
     customer table is needed; the name table has k rows (broadcast)."""
-    vec = written(scaled_vectors(df, keep=("CustomerId", "Age", "Balance")), "segment-vectors")
+    cols = list(S.CLUSTER_FEATURES) if former is not None else ["Age", "Balance"]
+    vec = written(scaled_vectors(df, keep=("CustomerId", *cols)), "segment-vectors")
     model = fit_segments(vec, k, n_init, seed)
     labelled = assign_segments(model, vec)
-    prof = segment_profile(labelled, "CustomerSegment", ["Age", "Balance"])
-    names = name_clusters(prof)
+    prof = segment_profile(labelled, "CustomerSegment", cols)
+    if former is None:
+        names = name_clusters(prof)
+    else:
+        spread = vec.agg(*[F.stddev_pop(c).alias(c) for c in cols]).first()
+        names = carry_names(prof, former, [spread[c] or 0.0 for c in cols], cols)
     return labelled.join(F.broadcast(names), "CustomerSegment").select(
         "CustomerId", "CustomerSegment", "SegmentName")

@@ -48,9 +48,10 @@ def attach(rows: DataFrame, per_group: DataFrame, keys: Sequence[str]) -> DataFr
 
 def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str],
                    sums: Sequence[str], prefix: str = "cum_",
-                   partitions: int | None = None) -> DataFrame:
+                   partitions: int | None = None, ahead: Sequence[str] = ()) -> DataFrame:
     """Add ``prefix+s`` = running sum of ``s`` within ``keys`` along ``order``
-    (ascending, current row included).  Rows tied on every order key are
+    (ascending, current row included), and ``next_c`` = the value of ``c`` (never null) in
+    the row after it, null at the end.  Rows tied on every order key are
     summed in an arbitrary but consistent sequence; callers either
     pre-aggregate ties or put a unique key last in ``order``."""
     keys = list(keys)
@@ -59,17 +60,20 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column |
     ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
     cut = written(ranged.sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "running")
     cut = cut.withColumn("_pid", F.shiftright("_at", 33))       # slice number, as written
-    totals = cut.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums])
+    totals = cut.groupBy("_pid", *keys).agg(*[F.sum(s).alias(f"_t_{s}") for s in sums], *[F.min_by(c, "_at").alias(f"_f_{c}") for c in ahead])
     before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(totals.select(
-        "_pid", *keys, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]), "offsets")
+        "_pid", *keys, *[F.coalesce(F.sum(f"_t_{s}").over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *[F.lead(f"_f_{c}").over(Window.partitionBy(*keys).orderBy("_pid")).alias(f"_n_{c}") for c in ahead]), "offsets")
     within = (Window.partitionBy("_pid", *keys).orderBy("_at")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = cut.select("*", *[F.sum(s).over(within).alias(f"_l_{s}") for s in sums])
+    after = Window.partitionBy("_pid", *keys).orderBy("_at")
+    local = cut.select("*", *[F.sum(s).over(within).alias(f"_l_{s}") for s in sums], *[F.lead(c).over(after).alias(f"_a_{c}") for c in ahead])
     out = attach(local, offsets, ["_pid", *keys])
     return out.select(
         *df.columns,
-        *[(F.col(f"_o_{s}") + F.col(f"_l_{s}")).alias(f"{prefix}{s}") for s in sums])
+        *[(F.col(f"_o_{s}") + F.col(f"_l_{s}")).alias(f"{prefix}{s}") for s in sums],
+        *[F.coalesce(f"_a_{c}", f"_n_{c}").alias(f"next_{c}") for c in ahead])
 
 
 def row_positions(df: DataFrame, order: Sequence[Column | str], name: str = "_pos",

@@ -239,6 +239,45 @@ def roc_curve(spark, d):
     return EV.roc_curve(test_preds(spark, d, "rule_t50"))
 
 
+THINNED = """
+, steps AS (
+  SELECT *, lead(pos) OVER w AS next_pos, lead(neg) OVER w AS next_neg, row_number() OVER w AS place, count(*) OVER () AS n_scores
+  FROM (SELECT *, cum_pos - lag(cum_pos, 1, 0) OVER v AS pos, cum_neg - lag(cum_neg, 1, 0) OVER v AS neg FROM cum WINDOW v AS (ORDER BY p DESC)) c
+  WINDOW w AS (ORDER BY p DESC)),
+kept AS (
+  SELECT p, cum_neg / NULLIF(tot_neg, 0) AS fpr, cum_pos / NULLIF(tot_pos, 0) AS tpr, n_scores FROM steps WHERE next_pos IS NULL OR {rule}
+  UNION ALL SELECT CAST(NULL AS DOUBLE), 0e0, 0e0, (SELECT count(*) FROM cum))"""
+CURVE = "SELECT ROUND(p, 6) AS threshold, ROUND(fpr, 6) AS fpr, ROUND(tpr, 6) AS tpr, CAST(n_scores AS BIGINT) AS n_scores FROM kept"
+
+
+def _thinned(spark, d, rule):
+    points = EV.roc_points(test_preds(spark, d, "rule_t50"), rule=rule)
+    return points.select(*[C.bround6(F.col(c)).alias(c) for c in ("threshold", "fpr", "tpr")], "n_scores")
+
+
+@register("roc_curve_thinned", q(CURVE, EVAL_CTES + "," + CUM_CTE + THINNED.format(
+    rule="place = 1 OR pos <> next_pos OR neg <> next_neg")))
+def roc_curve_thinned(spark, d):
+    return _thinned(spark, d, "equal_steps")
+
+
+@register("roc_curve_corners", q(CURVE, EVAL_CTES + "," + CUM_CTE + THINNED.format(rule="pos * next_neg <> next_pos * neg")))
+def roc_curve_corners(spark, d):
+    return _thinned(spark, d, "collinear")
+
+
+@register("roc_curve_sketch", q("""
+SELECT ROUND(bin / 1e3, 6) AS threshold, ROUND(sum(neg) OVER w / NULLIF(sum(neg) OVER (), 0), 6) AS fpr,
+       ROUND(sum(pos) OVER w / NULLIF(sum(pos) OVER (), 0), 6) AS tpr,
+       ROUND(sum(pos * neg) OVER () / 2e0 / NULLIF(sum(pos) OVER () * sum(neg) OVER (), 0), 6) AS area_error
+FROM (SELECT CAST(LEAST(GREATEST(floor(p * 1000), 0), 999) AS INT) AS bin, sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS pos,
+             sum(CASE WHEN label = 1 THEN 0 ELSE 1 END) AS neg FROM ev_test WHERE model = 'rule_t50' GROUP BY 1) g
+WINDOW w AS (ORDER BY bin DESC)""", EVAL_CTES))
+def roc_curve_sketch(spark, d):
+    points = EV.roc_sketch(test_preds(spark, d, "rule_t50"), bins=1000)
+    return points.select(*[C.bround6(F.col(c)).alias(c) for c in points.columns])
+
+
 @register("roc_auc", q("SELECT ROUND(roc_auc, 6) AS roc_auc FROM tm WHERE model = 'rule_t50'", ALL_EVAL))
 def roc_auc(spark, d):
     return EV.roc_auc(test_preds(spark, d, "rule_t50"))

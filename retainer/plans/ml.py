@@ -40,6 +40,19 @@ def kmeans_segments(spark, d):
     return SG.kmeans_segments(TB.churn_customers(spark, d), k=4)
 
 
+@register("kmeans_refit_names", None)
+def kmeans_refit_names(spark, d):
+    """The names of a first run carried to the clusters of a second one with other starts: customers of each
+    pair of names; both runs and their profiles are computed here."""
+    cust = TB.churn_customers(spark, d)
+    first = written(SG.kmeans_segments(cust, k=4), "first-run")
+    former = SG.segment_profile(first.join(cust, "CustomerId"), "CustomerSegment", S.CLUSTER_FEATURES)
+    former = written(former.join(first.select("CustomerSegment", "SegmentName").distinct(), "CustomerSegment"), "former")
+    again = SG.kmeans_segments(cust, k=4, seed=1042, former=former)
+    both = first.select("CustomerId", F.col("SegmentName").alias("former_name")).join(again, "CustomerId")
+    return both.groupBy("former_name", F.col("SegmentName").alias("new_name")).agg(F.count(F.lit(1)).alias("customers"))
+
+
 # C5 ----------------------------------------------------------------------------------------------------
 
 @register("pca_projection", None)

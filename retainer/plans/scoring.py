@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from retainer import schema as S
 from retainer.operators import batch as B
 from retainer.operators import describe as D
+from retainer.operators import rankindex as RI
 from retainer.operators import rules as H
 from retainer.plans.catalog import (HIGH, PERF_CTES, SCORING_CTES, batch_results, performance_table,
                                     register, risk_sql, segment_sql)
 from retainer.plans.oracle import q
+from retainer.session import scratch_path
 from retainer.sources import tables as TB
 
 
@@ -65,6 +67,29 @@ def result_page(spark, d):
     return B.result_page(batch_results(spark, d), page=2, per_page=5)
 
 
+@register("ranked_page", q("""
+SELECT rank, CustomerId, Segment, ChurnProbability, RiskLevel, CAST(ceil(n / 2e1) AS BIGINT) AS total_pages
+FROM (SELECT CAST(row_number() OVER (ORDER BY ChurnProbability DESC, CustomerId ASC) AS BIGINT) AS rank, count(*) OVER () AS n,
+             CustomerId, Segment, ChurnProbability, RiskLevel FROM batch WHERE Segment = 'Established Savers') t
+WHERE rank BETWEEN 61 AND 80""", SCORING_CTES))
+def ranked_page(spark, d):
+    """Page 4 of one segment, twenty rows a page, from a ranked result written in blocks."""
+    path = scratch_path(spark, "ranked")
+    RI.write_ranked(batch_results(spark, d), path)
+    return RI.read_page(spark, path, page=4, per_page=20, segment=S.ES)
+
+
+@register("ranked_range", q("""
+SELECT CAST(rank AS BIGINT) AS rank, CustomerId, RiskLevel, ChurnProbability
+FROM (SELECT row_number() OVER (ORDER BY ChurnProbability DESC, CustomerId ASC) AS rank, * FROM batch) t
+WHERE ChurnProbability BETWEEN 25e-2 AND 5e-1""", SCORING_CTES))
+def ranked_range(spark, d):
+    """A probability band, from the blocks of the ranked result that reach into it."""
+    path = scratch_path(spark, "ranked")
+    RI.write_ranked(batch_results(spark, d), path)
+    return RI.read_range(spark, path, 0.25, 0.5).select("rank", "CustomerId", "RiskLevel", "ChurnProbability")
+
+
 # G4 / G5 ------------------------------------------------------------------------------------------------
 
 @register("batch_segment_insights", q("""
