@@ -19,13 +19,15 @@ def usable(vectors: DataFrame, id_column: str = "vec_id", column: str = "embeddi
 
 
 def classes(rows: DataFrame, keep: int) -> DataFrame:
-    """One row for each distinct vector: rep (smallest id), v, and its `keep` smallest ids, ascending.
+    """One row for each distinct vector: v, its `keep` smallest ids, ascending, the first two of them (rep, second; null if
+    there is one) and `node`, a number of its own that holds once the table is written.
 
     Only the first ids of a vector leave a task, so a vector that many rows share stays small.
     """
     first = Window.partitionBy("v").orderBy("id")
     return (rows.dropDuplicates(["id", "v"]).withColumn("n", F.row_number().over(first)).filter(F.col("n") <= keep)
-            .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("rep"), "v", "ids"))
+            .groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+            .select(F.monotonically_increasing_id().alias("node"), F.col("ids")[0].alias("rep"), F.try_element_at("ids", F.lit(2)).alias("second"), "v", "ids"))
 
 
 def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:

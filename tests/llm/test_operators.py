@@ -358,6 +358,38 @@ def test_ties_of_many_multiples_go_to_smaller_ids(spark):
     assert [(r["query_id"], r["vec_id"]) for r in got] == [*((7, i) for i in range(5)), *((1000, i) for i in range(5))]
 
 
+def test_ids_with_several_vectors(spark):
+    """Each vector of a repeated id is a node of its own: nearest rows and links equal plain forms over all rows."""
+    from retainer.llm.cross_polytope import nearest
+    from retainer.llm.hnsw import near_duplicates
+
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=(2, 16))
+    near_b = b + rng.normal(size=16) * 0.02
+    rows = [(1, a), (1, b), (3, near_b), (50, a), (50, b), (50, b), *((60 + i % 4, v) for i, v in enumerate(rng.normal(size=(12, 16))))]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_duplicates(table, block=4).collect())
+    want = [(1, 1, 1, True), (1, 2, 1, True), (3, 2, 1, False), (50, 1, 1, False), (50, 2, 1, False), (50, 2, 1, False)]
+    assert got == sorted(want + [(60 + i % 4, 0, 60 + i % 4, True) for i in range(12)])
+    got = nearest(table, table.filter("vec_id in (50, 61)"), k=4).orderBy("query_id", "rank").collect()
+    kinds = {(i, tuple(v)) for i, v in rows}
+    for q in (50, 61):
+        best = sorted(min((-float(np.dot(v, w) / np.sqrt(np.dot(v, v) * np.dot(w, w))), i) for j, w in kinds if j == q) for i, v in kinds if i != q)[:4]
+        mine = [r for r in got if r["query_id"] == q]
+        assert [(r["rank"], r["vec_id"]) for r in mine] == [(n + 1, i) for n, (_, i) in enumerate(best)]
+        assert np.allclose([r["score"] for r in mine], [-s for s, _ in best])
+
+
+def test_a_query_id_with_many_vectors_finds_the_smallest_others(spark):
+    from retainer.llm.cross_polytope import nearest
+
+    x = np.eye(16)[:9].tolist()                 # cosines of 1 and 0 without rounding
+    rows = [(50, v) for v in x] + [(100 - i, v) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest(table, table.filter("vec_id = 50"), k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [92, 93, 94] and all(abs(r["score"] - 1) < 1e-12 for r in got)
+
+
 def test_vector_links_equal_brute_force(spark, vectors):
     from retainer.llm.hnsw import near_duplicates
 
