@@ -7,6 +7,10 @@ pair of minimum rank of every piece, until no piece has a pair left.  Decoding j
 with the vocabulary and concatenates in position order.  Nothing is shuffled; a worker
 keeps the ids of lately seen pieces, so a piece is encoded about once per worker.
 
+A long piece (blobs, rulers, runs of blanks) is first cut where no vocabulary entry can cross; what stays long is
+contracted at all places of its minimum rank in a step, by calls of bounded steps, so state stays small and a
+step costs time in proportion to the piece.
+
 Nulls: a null text is empty (no ids, hash of no bytes); a null doc_id is carried; repeated
 rows are encoded as often as they occur.  An empty table gives no rows.
 """
@@ -17,11 +21,12 @@ import base64
 import hashlib
 import tempfile
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +61,45 @@ WITH RECURSIVE state(key, w, tok, k, step) AS (
 SELECT s.w, s.tok FROM state s JOIN final f ON s.w = f.w AND s.step = f.step ORDER BY s.key
 """
 
+#: For long pieces: a step contracts a piece's minimum-rank pairs from the left, every other one of a run of overlapping
+#: pairs, up to the first whose new token forms a pair of lower rank.  Steps are bounded; `k` says what is left to do.
+_ENCODE_LONG = """
+WITH RECURSIVE state(key, w, tok, k, step) AS (
+  SELECT key, w, tok, m.k, 0
+  FROM (SELECT key, w, tok, lead(tok) OVER o AS nt, lead(w) OVER o AS nw FROM long_in WINDOW o AS (ORDER BY key)) t
+  LEFT JOIN merges m ON m.pair = t.tok::BIGINT * 1048576 + t.nt AND t.nw = t.w
+  UNION ALL
+  SELECT key, w, tok, m.k, step + 1
+  FROM (
+    SELECT key, w, tok, step, CASE WHEN lead(w) OVER o = w THEN lead(tok) OVER o END AS nx
+    FROM (
+      SELECT key, w, step, CASE WHEN taken THEN bk ELSE tok END AS tok, lag(taken, 1, false) OVER (ORDER BY key) AS gone
+      FROM (
+        SELECT t.*, t.first AND t.key <= min(CASE WHEN a.k < t.bk OR z.k < t.bk THEN t.key ELSE 9223372036854775807 END) OVER (PARTITION BY t.w) AS taken
+        FROM (
+          SELECT *, r % 2 = 1 AS first,
+                 CASE WHEN r % 2 = 1 THEN CASE WHEN r > 1 THEN bk WHEN pw = w THEN pt END::BIGINT * 1048576 + bk END AS left_pair,
+                 CASE WHEN r % 2 = 1 AND nnw = w THEN bk::BIGINT * 1048576 + nnt END AS right_pair
+          FROM (
+            SELECT *, CASE WHEN same THEN i - coalesce(max(CASE WHEN NOT same THEN i END) OVER (ORDER BY key ROWS UNBOUNDED PRECEDING), 0) ELSE 0 END AS r
+            FROM (
+              SELECT s.*, b.bk, coalesce(s.k = b.bk, false) AS same, row_number() OVER o AS i, lag(s.tok) OVER o AS pt, lag(s.w) OVER o AS pw,
+                     lead(s.tok, 2) OVER o AS nnt, lead(s.w, 2) OVER o AS nnw
+              FROM state s JOIN (SELECT w, min(k) AS bk FROM state WHERE k IS NOT NULL GROUP BY w) b ON s.w = b.w
+              WHERE s.step < $steps
+              WINDOW o AS (ORDER BY s.key)))) t
+        LEFT JOIN merges a ON a.pair = t.left_pair LEFT JOIN merges z ON z.pair = t.right_pair))
+    WHERE NOT gone
+    WINDOW o AS (ORDER BY key)) t
+  LEFT JOIN merges m ON m.pair = t.tok::BIGINT * 1048576 + t.nx
+), final AS (SELECT w, max(step) AS step FROM state GROUP BY w)
+SELECT s.key, s.w, s.tok, max(s.k IS NOT NULL) OVER (PARTITION BY s.w) AS open FROM state s JOIN final f ON s.w = f.w AND s.step = f.step ORDER BY s.key
+"""
+
+#: Pieces above LONG bytes are cut where no merge can cross, and parts still above it take `_ENCODE_LONG`, LONG_BATCH bytes
+#: (or one part) and LONG_ROWS rows of state a call.
+LONG, LONG_BATCH, LONG_ROWS = 256, 1 << 20, 4 << 20
+
 _DECODE = """
 SELECT i.doc, string_agg(v.piece, '' ORDER BY i.pos) AS piece
 FROM ids_in i JOIN vocabulary v ON v.id = i.id GROUP BY i.doc
@@ -149,16 +193,74 @@ class Bpe:
         self.db.execute(f"CREATE TABLE {name} AS SELECT * FROM rows_in")
         self.db.unregister("rows_in")
 
+    @cached_property
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of two bytes, and three bytes in a row of any entry, as sorted numbers."""
+        two = [256 * p[0] + p[1] for p in self.ranks if len(p) == 2]
+        three = {p[i : i + 3] for p in self.ranks for i in range(len(p) - 2)}
+        return np.unique(two), np.unique([int.from_bytes(t, "big") for t in three])
+
+    def cut(self, piece: bytes) -> list[bytes]:
+        """Parts of a piece that its encoding never joins.
+
+        A token over the border of x and y is the entry xy, or holds wxy or xyz; where no entry does, no merge crosses.
+        """
+        d = np.frombuffer(piece, np.uint8).astype(np.int64)
+        two, three = self.grams
+        joined = np.isin(d[:-1] * 256 + d[1:], two)
+        held = np.isin(d[:-2] * 65536 + d[1:-1] * 256 + d[2:], three)
+        joined[:-1] |= held
+        joined[1:] |= held
+        at = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def _contract(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of long parts, in calls of bounded steps that go on from the last state."""
+        size = np.array([len(w) for w in words])
+        w = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        key = (w.astype(np.int64) << 32) + np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        rows = pa.table({"key": key, "w": w, "tok": self.byte[np.frombuffer(b"".join(words), np.uint8)]})
+        out: list = [None] * len(words)
+        while len(rows):
+            self.db.register("long_in", rows)
+            got = self.db.sql(_ENCODE_LONG, params={"steps": max(8, LONG_ROWS // len(rows))}).to_arrow_table()
+            self.db.unregister("long_in")
+            done = got.filter(pc.invert(got["open"]))
+            tokens, of = done["tok"].to_numpy(), done["w"].to_numpy()
+            for j in np.unique(of):
+                out[j] = tokens[np.searchsorted(of, j) : np.searchsorted(of, j, "right")]
+            rows = got.filter(got["open"]).select(["key", "w", "tok"])
+        return out
+
+    def _encode_long(self, pieces: list[bytes], batch: int) -> list[np.ndarray]:
+        """Ids of long pieces, by way of their parts; each distinct part is encoded once."""
+        parts = [self.cut(p) for p in pieces]
+        distinct = list(dict.fromkeys(x for p in parts for x in p))
+        short = [x for x in distinct if len(x) <= LONG]
+        ids = dict(zip(short, self.encode(short, batch), strict=True))
+        group: list[bytes] = []
+        held = 0
+        for x in [x for x in distinct if len(x) > LONG] + [b""]:
+            if group and (not x or held + len(x) > LONG_BATCH):
+                ids |= zip(group, self._contract(group), strict=True)
+                group, held = [], 0
+            group.append(x)
+            held += len(x)
+        return [np.concatenate([ids[x] for x in p]) for p in parts]
+
     def encode(self, pieces: list[bytes], batch: int = 40_000) -> list:
         """Ids of each piece; a piece that is a vocabulary entry is that entry."""
         out: list = [None] * len(pieces)
-        unknown = []
+        unknown, long = [], []
         for i, piece in enumerate(pieces):
             rank = self.ranks.get(piece)
             if rank is None and piece:
-                unknown.append(i)
+                (unknown if len(piece) <= LONG else long).append(i)
             else:
                 out[i] = [] if rank is None else [rank]
+        if long:
+            for i, ids in zip(long, self._encode_long([pieces[i] for i in long], batch), strict=True):
+                out[i] = ids
         for a in range(0, len(unknown), batch):
             part = unknown[a : a + batch]
             words = [pieces[i] for i in part]

@@ -87,6 +87,41 @@ def test_bpe_equals_tiktoken(docs, edge, empty):
     assert bpe_round_trip(empty).count() == 0
 
 
+def test_bpe_of_long_pieces(spark):
+    import random
+
+    from retainer.llm.bpe_sql import bpe_round_trip
+
+    encoder, rng = tiktoken_encoder(), random.Random(1)
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "ab", "0123456789", "=", " ", "\n", "-=_*#", "あいうえおかきくけこ"]
+    texts = ["".join(rng.choices(a, k=100_000 // len(a[0].encode()))) for a in alphabets]
+    texts.append("x " + "".join(rng.choices(["the", "and", "tion", "inter", "er"], k=30_000)) + "  end")
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe_round_trip(rows).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array(encoder.encode_ordinary(text), "<u4")
+        assert got[i] == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_bpe_contracts_many_places_a_step_like_one(monkeypatch):
+    import random
+
+    import public_tokenizers
+
+    from retainer.llm import bpe_sql
+
+    bpe, encoder, rng = bpe_sql.Bpe(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), tiktoken_encoder(), random.Random(2)
+    vocabulary = list(bpe.ranks)
+    words = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz"[: rng.choice([2, 3, 5, 26])], k=rng.randrange(2, 80))) for _ in range(1500)]
+    words += [b"".join(rng.choices(vocabulary, k=rng.randrange(2, 12))) for _ in range(1500)]
+    words = [w for w in dict.fromkeys(words) if w not in bpe.ranks]
+    want = [encoder._encode_single_piece(w) for w in words]
+    for rows in (bpe_sql.LONG_ROWS, 1):  # one call; calls of eight steps
+        monkeypatch.setattr(bpe_sql, "LONG_ROWS", rows)
+        assert [g.tolist() for g in bpe._contract(words)] == want
+    assert [g.tolist() for g in bpe._encode_long(words, 40_000)] == want
+
+
 def test_piece_starts_follow_the_pattern():
     import public_tokenizers
     import pyarrow as pa
