@@ -63,9 +63,13 @@ class ModelScorer:
 
 # A3 ------------------------------------------------------------------------------------------
 
-def require_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_FIELDS) -> DataFrame:
-    """Refuse input missing any required column (schema check only, no job)."""
+def require_columns(df: DataFrame, required: Sequence[str] = S.REQUIRED_FIELDS, filled: bool = False) -> DataFrame:
+    """Refuse input missing any required column: a schema check without a job.  With ``filled`` a column
+    without a single value is missing too (one aggregate; an empty table then lacks all of them)."""
     missing = [c for c in required if c not in df.columns]
+    if filled and not missing:
+        has = df.agg(*[F.coalesce(F.max(F.col(c).isNotNull()), F.lit(False)).alias(c) for c in required]).first()
+        missing = [c for c in required if not has[c]]
     if missing:
         raise ValueError(f"Missing required fields: {', '.join(missing)}")
     return df

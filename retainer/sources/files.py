@@ -46,15 +46,24 @@ def read_customers(spark: SparkSession, path: str, fmt: str | None = None) -> Da
 def read_scoring_input(spark: SparkSession, path: str, fmt: str | None = None,
                        schema: T.StructType = S.SCORING_INPUT_SCHEMA) -> DataFrame:
     """Scoring input; flags are read as text so Yes/No and 1/0 both parse.
-    CSV columns are matched by header name, so files without CustomerId or
-    with columns in another order are read correctly."""
+    No format is read twice to find its types, and columns go by name in any order.
+
+    CSV: the columns of the header, others than the schema's as text.  ORC and Parquet:
+    the columns of the file footer, the schema's cast to its types.  JSON (a record a line):
+    the schema's columns; a key that a record lacks is NULL, other keys are not read.  Pass a
+    schema without CustomerId where records have none, and check the input with
+    ``require_columns(filled=True)``, as a column that no record has cannot be told by its name."""
     fmt = fmt or _guess_format(path)
     if fmt == "csv":
         header = spark.read.option("header", "true").csv(path).columns  # reads the header line only
         fields = [schema[c] if c in schema.fieldNames() else T.StructField(c, T.StringType())
                   for c in header]
         return read_table(spark, path, T.StructType(fields), "csv")
-    return read_table(spark, path, None, fmt)
+    if fmt == "json":
+        return read_table(spark, path, schema, "json")
+    stored = read_table(spark, path, None, fmt)  # types come from a footer
+    return stored.select([F.col(f"`{c}`").cast(schema[c].dataType).alias(c) if c in schema.fieldNames() else F.col(f"`{c}`")
+                          for c in stored.columns])
 
 
 def _guess_format(path: str) -> str:

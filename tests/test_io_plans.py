@@ -37,6 +37,35 @@ def test_scoring_csv_by_header(spark, tmp):
     assert out.count() == 22 and out.columns == ["CustomerId", *S.BATCH_RESULT_COLUMNS]
 
 
+@pytest.mark.parametrize("fmt", ["json", "orc", "parquet"])
+def test_scoring_input_by_name_without_inference(spark, tmp, fmt):
+    src = catalog.scoring_input(spark, SF_SMALL)
+    turned = src.select(*reversed(src.columns), F.lit(1).alias("extra")).withColumn("Age", F.col("Age").cast("long"))
+    path = f"{tmp}/s.{fmt}"
+    turned.write.format(fmt).save(path)
+    group, tracker = f"infer-{fmt}", spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, "read")
+    df = IO.read_scoring_input(spark, path)
+    jobs = tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("other", "other")
+    if fmt != "parquet":  # whose footers Spark itself reads in a job
+        assert not list(jobs)
+    want = src.select([F.col(f.name).cast(f.dataType) for f in S.SCORING_INPUT_SCHEMA])
+    got = df.select(want.columns)
+    assert got.dtypes == want.dtypes and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    assert B.score_batch(df).count() == src.count()
+
+
+def test_json_without_a_required_key_is_refused(spark, tmp):
+    src = catalog.scoring_input(spark, SF_SMALL).drop("Age", "CustomerId").withColumn(
+        "Balance", F.when(F.col("Tenure") > 3, F.col("Balance")))  # null in some records, not in all
+    src.write.json(f"{tmp}/s.json")
+    df = IO.read_scoring_input(spark, f"{tmp}/s.json")
+    assert B.require_columns(df) is df
+    with pytest.raises(ValueError, match="Missing required fields: Age$"):
+        B.require_columns(df, filled=True)
+
+
 def test_json_records_and_nested_sink(spark, tmp):
     rec = {"CreditScore": 650, "Geography": "Germany", "Gender": "Male", "Age": 62, "Tenure": 1,
            "Balance": 5000.0, "NumOfProducts": 1, "HasCrCard": "Yes", "IsActiveMember": "No",
