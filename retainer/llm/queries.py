@@ -29,7 +29,7 @@ def op2_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixity.fixity_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return fixity.seeded_audit(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -208,16 +208,44 @@ def test_fixity_equals_sql_and_handles_edges(spark, duck):
     from retainer.llm import fixity
 
     pages = spark.read.parquet(f"{SF}/pages.parquet")
-    columns = ["file_no", "record_no", "page_id", "record_offset", "record_length", "sha256", "replica_sha256", "damage"]
-    want = sorted(map(tuple, duck.sql(fixity.ORACLE_SQL).df()[columns].astype(object).where(lambda x: x.notna(), None).values))
-    got = sorted(tuple(r[c] for c in columns) for r in fixity.fixity_audit(pages, per_file=fixity.PER_FILE).collect())
+    columns = ["file_no", "record_no", "page_id", "record_offset", "record_length", "sha256", "replica_offset", "replica_sha256", "damage"]
+    none = lambda row: tuple(None if x != x else x for x in row)
+    want = sorted(map(none, duck.sql(fixity.ORACLE_SQL).df()[columns].astype(object).where(lambda x: x.notna(), None).values))
+    got = sorted(tuple(r[c] for c in columns) for r in fixity.seeded_audit(pages).collect())
     assert got == want and got
     rows = [(None, None, None), (1, None, ""), (1, "u", "x" * 100000), (1, "u", "x" * 100000), (2, "é", None)] + [(i, "u", "text") for i in range(3, 400)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("hash", F.lit(1))
-    leaves = fixity.records(table, per_file=64).collect()
-    bad = {(r["file_no"], r["node"]) for r in leaves if r["hash"] != r["replica_hash"]}
-    assert len(leaves) == len(rows) and {(r["file_no"], r["record_no"]) for r in fixity.fixity_audit(table, per_file=64, fanout=4).collect()} == bad and bad
-    assert fixity.fixity_audit(table.limit(0)).count() == 0
+    kept, copy = ({(r["file_no"], r["node"]): (r["hash"], r["record_offset"], r["record_length"]) for r in x.collect()} for x in fixity.replicas(table, per_file=64))
+    bad = {place for place, record in kept.items() if copy.get(place) != record}
+    assert len(kept) == len(rows) and {(r["file_no"], r["record_no"]) for r in fixity.seeded_audit(table, per_file=64, fanout=4).collect()} == bad and bad
+    many = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.lit("text").alias("html"))
+    kinds = {r["damage"]: r["n"] for r in fixity.seeded_audit(many).groupBy("damage").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"missing", "changed", "moved"} and sum(kinds.values()) < 150
+    assert fixity.seeded_audit(table.limit(0)).count() == 0
+
+
+def test_fixity_of_two_record_tables(spark):
+    from retainer.llm import fixity
+
+    schema = "file_no long, node long, page_id long, record_offset long, record_length long, hash string"
+    kept = [(f, n, 100 * f + n, 50 * n, 50, f"{f}-{n}") for f in range(3) for n in range(20)]
+    copy = {r[:2]: r for r in kept}
+    copy[0, 3] = (0, 3, 3, 151, 50, "0-3")  # the right bytes at a wrong offset
+    copy[0, 7] = (0, 7, 7, 350, 50, "other")
+    copy[1, 19] = (1, 19, 119, 950, 51, "1-19")
+    del copy[2, 0]
+    copy[2, 20] = (2, 20, 220, 1000, 50, "new")  # a record, and a file, that only the copy has
+    copy[9, 0] = (9, 0, None, 0, 50, "new file")
+    one, two = spark.createDataFrame(kept, schema), spark.createDataFrame(list(copy.values()), schema).withColumn("extra", F.lit(1))
+    found = lambda a, b: {(r["file_no"], r["record_no"], r["damage"], r["page_id"], r["replica_offset"]) for r in fixity.fixity_audit(a, b, per_file=32, fanout=4).collect()}
+    assert found(one, two) == {(0, 3, "moved", 3, 151), (0, 7, "changed", 7, 350), (1, 19, "changed", 119, 950), (2, 0, "missing", 200, None),
+                               (2, 20, "extra", 220, 1000), (9, 0, "extra", None, 0)}
+    assert found(one, one) == set()
+    assert {r[2] for r in found(one, two.limit(0))} == {"missing"} and len(found(one.limit(0), one)) == 60
+    # nodes cover ranges of offsets, so a file whose records all lie one byte further has another root
+    late = one.withColumn("record_offset", F.col("record_offset") + 1)
+    roots = [{r["file_no"]: (r["hash"], r["first"], r["last"]) for r in fixity.tree(fixity.leaves(x), 32, 4)[-1].collect()} for x in (one, late)]
+    assert roots[0][0][1:] == (0, 1000) and roots[1][0][1:] == (1, 1001) and all(roots[0][f][0] != roots[1][f][0] for f in range(3))
 
 
 # operator 4 ---------------------------------------------------------------------------------------
