@@ -319,6 +319,36 @@ def test_shards_follow_the_curve(docs, edge, empty):
     assert shard(empty).count() == 0
 
 
+def test_shard_files_are_pruned(spark, docs, tmp_path):
+    from retainer.llm import hilbert
+
+    rows = spark.range(4000).select(
+        F.col("id").alias("doc_id"), F.expr("repeat('x', cast(pow(2, id % 12) as int))").alias("text"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 7).cast("string"))).alias("source"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("l"), (F.floor(F.col("id") / 12) % 4).cast("string"))).alias("lang"))
+    sharded = hilbert.shard(rows).cache()
+    hilbert.write(sharded, f"{tmp_path}/s")
+    every = spark.read.parquet(f"{tmp_path}/s/rows")
+    assert sorted(every.select(sharded.columns).collect(), key=str) == sorted(sharded.collect(), key=str)
+    hot = sharded.join(rows.filter("source = 'hot'").select("doc_id"), "doc_id").select("source_cell").distinct().collect()
+    assert [tuple(r) for r in hot] == [(0,)]
+    for cells in ({"source_cell": (0, 0), "size_cell": (1, 3)}, {"size_cell": (9, 11)}, {"lang_cell": (8, 20), "source_cell": (12, 31)}):
+        got = hilbert.read_within(spark, f"{tmp_path}/s", **cells)
+        want = sharded.filter(" and ".join(f"{c} between {a} and {b}" for c, (a, b) in cells.items()))
+        assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in want.collect()) != []
+        assert len(got.inputFiles()) < len(every.inputFiles())
+    assert hilbert.read_within(spark, f"{tmp_path}/s", size_cell=(30, 31)).count() == 0
+    hilbert.write(hilbert.shard(rows.limit(0)), f"{tmp_path}/none")
+    assert hilbert.read_within(spark, f"{tmp_path}/none", size_cell=(0, 31)).collect() == []
+    # levels by falling count: each starts where the shares before it end
+    counts = {r["source"]: r["count"] for r in docs.filter("source is not null").groupBy("source").count().collect()}
+    before, want = 0, {}
+    for name, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])):
+        want[name] = before * 32 // sum(counts.values())
+        before += n
+    assert {r["level"]: r["cell"] for r in hilbert.levels(docs, "source").collect()} == want
+
+
 # operator 6 ---------------------------------------------------------------------------------------
 
 def test_ppm_equals_a_plain_trie(docs, edge, empty):
