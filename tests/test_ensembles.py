@@ -195,3 +195,22 @@ def test_training_queries_search_the_published_grids_to_the_end(spark, name):
         assert all(set(json.loads(r["best_params"])) == set(M.PUBLISHED[r["Model"]][0]) and r["Tuning_Score"] > 0.5 for r in rows)
     else:
         assert len(rows) == 150 and all(0 <= r["ensemble_probability"] <= 1 and 0 <= r["ChurnProbability"] <= 1 for r in rows)
+
+
+def test_siblings_share_a_histogram(monkeypatch):
+    """Below the root of a boosted tree at most half of the rows are counted a level."""
+    _, rows, _ = toy()
+    counted, plain = [], EN.histogram
+    monkeypatch.setattr(EN, "histogram", lambda c, at, slot, *more: (counted.append(len(slot)), plain(c, at, slot, *more))[1])
+    growth = EN.grow_here(EN.Boosted(0, 7, EN.Rules(DIM, 4, 1), 1), rows)
+    n = int(growth.used(rows).sum())
+    assert len(counted) == 4 and counted[0] == n and all(c <= n / 2 for c in counted[1:])
+
+
+def test_trees_of_a_forest_apart_grow_together(spark, table, monkeypatch):
+    data, cuts = table
+    steps, plain = [], EN._step
+    monkeypatch.setattr(EN, "_step", lambda *more: (steps.append(1), plain(*more))[1])
+    [(growth, _)] = EN.growths("forest", [setting(n_estimators=6, max_depth=2)], [0], DIM)
+    EN.grow_apart(EN.binned_rows(data, "x", cuts), [growth], DIM)
+    assert len(growth.trees) == 6 and len(steps) == 2
