@@ -1,7 +1,9 @@
 """K-means for many numbers of clusters and starts in one pass over the rows per iteration.
 
-The centres of all runs (k, start) form one matrix; a pass finds the nearest centre of every run for each row and adds up sums,
-counts and inertia, first by task, then by run.  Runs leave the pass when their centres stay.  Starts follow k-means++: the
+The centres of all runs (k, start) form one matrix; a pass finds the nearest centre of every run for each row and adds up sums
+and counts, first by task, then by run.  Distances come from one matrix product; where two centres are as near as its rounding
+can tell, they are compared by exact differences.  Runs leave the pass when their centres stay; a last pass gives the inertia
+of all.  Starts follow k-means++: the
 next centre of a start is drawn with chances in proportion to squared distance, by the smallest exponential lot
 (a hash of the vector and the start, so retries and layouts draw the same).  Runs of one start share their first centres
 whatever k is, so the starts of all runs take as many passes as the largest k.
@@ -42,7 +44,12 @@ def _vectors(batch) -> np.ndarray:
 
 def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances, without the cancellation of the expanded form."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+    out, columns = np.zeros((len(centres), len(x))), np.ascontiguousarray(x.T)
+    for j, column in enumerate(columns):
+        step = column[None, :] - centres[:, j, None]
+        step *= step
+        out += step
+    return out.T
 
 
 def _lots(x: np.ndarray, start: int) -> np.ndarray:
@@ -79,35 +86,78 @@ def draw_centres(vectors: DataFrame, starts: Sequence[int], most: int) -> dict[i
     return {s: np.array(c) for s, c in chosen.items()}
 
 
-def _pass(vectors: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray, float]]:
-    """(counts, sums, inertia) of each run's centres."""
+#: Rows of one matrix product; relative rounding of a product, well above what 53 bits leave.
+BLOCK, ROUNDING = 512, 1e-11
+
+
+def _chosen(x: np.ndarray, runs: np.ndarray) -> np.ndarray:
+    """1.0 at the nearest centre (the first of equals) of each run for each row; ``runs``: (run, k, column); result (run, k, row)."""
+    r, k, d = runs.shape
+    norm = (runs**2).sum(axis=2)
+    score = ((-2.0 * runs.reshape(r * k, d)) @ x.T).reshape(r, k, len(x)) + norm[:, :, None]
+    limit = score.min(axis=1) + ROUNDING * ((x**2).sum(axis=1)[None, :] + norm.max(axis=1)[:, None])
+    near = score <= limit[:, None, :]
+    run, row = np.nonzero(near.view(np.uint8).sum(axis=1, dtype=np.int32) > 1)
+    if len(run):
+        exact = np.zeros((len(run), k))
+        for j in range(d):
+            exact += (x[row, j, None] - runs[run, :, j]) ** 2
+        near[run, :, row] = np.arange(k) == exact.argmin(axis=1)[:, None]
+    return near.astype(float)
+
+
+def _by_size(runs: list[np.ndarray]) -> list[tuple[list[int], np.ndarray]]:
+    """Runs with as many centres together: (numbers, centres by run)."""
+    sizes: dict[int, list[int]] = {}
+    for i, r in enumerate(runs):
+        sizes.setdefault(len(r), []).append(i)
+    return [(at, np.stack([runs[i] for i in at])) for at in sizes.values()]
+
+
+def _summed(vectors: DataFrame, runs: list[np.ndarray], sums) -> list[np.ndarray]:
+    """``sums(x, runs)`` (an array for each run) of all rows x, added up by task, then by run."""
     sent = vectors.sparkSession.sparkContext.broadcast(runs)
 
     def partial(batches):
-        runs = sent.value
-        ends = np.cumsum([len(r) for r in runs])
-        total = [np.zeros((len(r), r.shape[1] + 2)) for r in runs]
+        runs, total = sent.value, None
         for batch in batches:
             x = _vectors(batch)
-            if not len(x):
-                continue
-            distance = _distances(x, np.concatenate(runs))
-            for t, r, end in zip(total, runs, ends):
-                own = distance[:, end - len(r) : end]
-                near = own.argmin(axis=1)
-                t[:, 0] += np.bincount(near, minlength=len(r))
-                t[:, 1] += np.bincount(near, weights=own[np.arange(len(x)), near], minlength=len(r))
-                for j in range(x.shape[1]):
-                    t[:, 2 + j] += np.bincount(near, weights=x[:, j], minlength=len(r))
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(runs)), pa.int32()), pa.array([t.ravel() for t in total], pa.list_(pa.float64()))], names=["run", "sums"])
+            if len(x):
+                new = sums(x, runs)
+                total = new if total is None else [a + b for a, b in zip(total, new)]
+        total = total or []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([t.ravel() for t in total], pa.list_(pa.float64()))], names=["run", "sums"])
 
     def join(table: pa.Table) -> pa.Table:
         parts = np.sort(np.stack(table.column("sums").to_numpy()), axis=0)  # in one order, whatever the tasks'
         return pa.table({"run": table.column("run")[:1], "sums": pa.array([parts.sum(axis=0)], pa.list_(pa.float64()))})
 
     got = vectors.mapInArrow(partial, "run int, sums array<double>").groupBy("run").applyInArrow(join, "run int, sums array<double>").collect()
-    tables = [np.array(r["sums"]).reshape(len(runs[r["run"]]), -1) for r in sorted(got, key=lambda r: r["run"])]
-    return [(t[:, 0], t[:, 2:], float(t[:, 1].sum())) for t in tables]
+    return [np.array(r["sums"]) for r in sorted(got, key=lambda r: r["run"])]
+
+
+def _members(x: np.ndarray, runs: list[np.ndarray]) -> list[np.ndarray]:
+    """Number and sum of the rows nearest to each centre of each run."""
+    total = [np.zeros((len(r), r.shape[1] + 1)) for r in runs]
+    groups = _by_size(runs)
+    for i in range(0, len(x), BLOCK):
+        rows = x[i : i + BLOCK]
+        ones = np.concatenate([np.ones((len(rows), 1)), rows], axis=1)
+        for at, centres in groups:
+            near = _chosen(rows, centres)
+            for j, t in zip(at, (near.reshape(-1, len(rows)) @ ones).reshape(*near.shape[:2], -1)):
+                total[j] += t
+    return total
+
+
+def _costs(x: np.ndarray, runs: list[np.ndarray]) -> list[np.ndarray]:
+    return [_distances(x, r).min(axis=1).sum(keepdims=True) for r in runs]
+
+
+def _pass(vectors: DataFrame, runs: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(counts, sums) of each run's centres."""
+    tables = [t.reshape(len(r), -1) for t, r in zip(_summed(vectors, runs, _members), runs)]
+    return [(t[:, 0], t[:, 1:]) for t in tables]
 
 
 def fit_runs(vectors: DataFrame, ks: Sequence[int], starts: Sequence[int], max_passes: int = MAX_PASSES, tolerance: float = TOLERANCE) -> list[Clusters]:
@@ -118,11 +168,10 @@ def fit_runs(vectors: DataFrame, ks: Sequence[int], starts: Sequence[int], max_p
     still = max(tolerance * float(np.mean(spread or [0.0])), 1e-20)
     names = [(k, s) for k in ks for s in starts if len(first[s])]
     centres = [first[s][:k] for k, s in names]
-    inertia, open_ = [float("inf")] * len(names), list(range(len(names)))
+    open_ = list(range(len(names)))
     for _ in range(max_passes):
         going = []
-        for i, (count, total, cost) in zip(open_, _pass(vectors, [centres[i] for i in open_])):
-            inertia[i] = cost
+        for i, (count, total) in zip(open_, _pass(vectors, [centres[i] for i in open_])):
             moved = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres[i])
             if ((moved - centres[i]) ** 2).sum() > still:
                 going.append(i)
@@ -130,7 +179,8 @@ def fit_runs(vectors: DataFrame, ks: Sequence[int], starts: Sequence[int], max_p
         open_ = going
         if not open_:
             break
-    return [Clusters(k, s, np.array(sorted(map(tuple, c))), x) for (k, s), c, x in zip(names, centres, inertia)]
+    inertia = _summed(vectors, centres, _costs) if names else []
+    return [Clusters(k, s, np.array(sorted(map(tuple, c))), float(x[0])) for (k, s), c, x in zip(names, centres, inertia)]
 
 
 def best_of(runs: Sequence[Clusters]) -> dict[int, Clusters]:

@@ -60,3 +60,15 @@ def test_fewer_vectors_than_clusters(spark):
     [run] = KM.fit_runs(df, [4], [1])
     assert len(run.centres) == 2 and run.inertia == 0.0
     assert KM.fit_runs(df.limit(0), [4], [1]) == []
+
+
+def test_products_choose_as_exact_differences_do():
+    """Nearest centres by matrix products, equal and almost equal centres included, far from the origin too."""
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((700, 3)) * 4) + 1e4
+    runs = [x[rng.choice(len(x), k, False)] + rng.choice([0.0, 0.5], (k, 1)) for k in (2, 5, 5, 6)]
+    runs[1][3] = runs[1][0]
+    for centres, got in zip(runs, KM._members(x, runs)):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        assert got[:, 0].tolist() == np.bincount(near, minlength=len(centres)).tolist()
+        assert np.allclose(got[:, 1:], [x[near == i].sum(0) for i in range(len(centres))])
