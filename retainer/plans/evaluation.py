@@ -162,8 +162,8 @@ UNION ALL
 SELECT 'after', Exited, (SELECT max(n) FROM (SELECT count(*) AS n FROM ev_split WHERE split = 'train' GROUP BY Exited) m)
 FROM ev_split WHERE split = 'train' GROUP BY Exited""", EVAL_CTES))
 def class_distribution(spark, d):
-    feats = FE.training_features(TB.churn_customers(spark, d))
-    train = SM.stratified_split(feats).where(F.col("split") == "train").drop("split")
+    feats = FE.training_features(written(TB.churn_customers(spark, d), "customers"))
+    train = written(SM.stratified_split(feats).where(F.col("split") == "train").drop("split"), "train")
     before = SM.class_distribution(train, "Exited", "before")
     after = SM.class_distribution(SM.smote(train, S.FEATURES, "Exited"), "Exited", "after")
     return before.unionByName(after)

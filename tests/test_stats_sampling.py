@@ -236,3 +236,21 @@ def test_knn_compares_a_bounded_number_of_points_each(spark):
     few, many = (candidate_pairs(_frame(spark, _slab(n)), 5) / n for n in (1500, 6000))
     print(f"candidates a point: {few:.0f} of 1,500 points, {many:.0f} of 6,000")
     assert many < 1.5 * few and many < 600
+
+
+def test_points_of_a_cell_are_compared_in_blocks(spark, monkeypatch):
+    """A cell that many points search is dealt to several groups; no distance is an expression on single pairs."""
+    import numpy as np
+
+    from retainer.operators import neighbours as NB
+
+    monkeypatch.setattr(NB, "SEARCHED", 7)
+    x = np.round(np.random.default_rng(5).random((90, 3)) * 9, 1)
+    x = np.unique(x, axis=0)
+    found = NB.knn_within(_frame(spark, x.tolist()), 4, cell=20, fan=4)
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = {(r["_id"], r["nbr_rank"]): r["dist"] for r in found.collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    near = np.sort(d, axis=1)[:, :4]
+    assert len(got) == near.size and all(abs(got[i, j + 1] - near[i, j]) < 1e-12 for i in range(len(x)) for j in range(4))
