@@ -7,7 +7,9 @@ tail is placed in turn.  Windows still open when a partition ends are merged by
 best-fit over bounded batches, until one batch holds what is left.
 
 A worker tokenises each distinct word once (`textops.TokenStore`): the tokenizer never
-joins text across ASCII white space, so words are independent.
+joins text across ASCII white space, so words are independent.  Nor does it join an ASCII letter or digit to the punctuation
+after it, and it lower-cases text: a word's last run of punctuation is a word of its own, and ASCII capitals are
+lowered before words are looked up (`parted`), which leaves about a third fewer words to encode.
 
 Nulls: a null text is empty and packs as the end id alone; a null doc_id is carried.  Repeated
 rows are packed as often as they occur.  An empty table gives no rows.
@@ -27,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retainer.llm.textops import TokenStore, chunks, string_array, word_spans
+from retainer.llm.textops import LOWER, TokenStore, chunks, string_array, word_spans
 from retainer.llm.workspace import materialize, only
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -142,10 +144,32 @@ def _store(path: str) -> FlatStore:
     return _STORES[path]
 
 
+_CODES = np.arange(256)
+_ALNUM = np.isin(_CODES, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", np.uint8))
+_PUNCT = (_CODES > 32) & (_CODES < 127) & ~_ALNUM
+#: What starts a special token; text that holds it is left as it is.
+SPECIAL = b"<|"
+
+
+def parted(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, row) of words that give the same ids: ASCII capitals lowered, unless a byte of another character (a mark that
+    may combine with the capital) follows, and punctuation at a word's end apart from the ASCII letter or digit before it."""
+    if not len(start) or SPECIAL in data.tobytes().lower():
+        return data, start, end, row
+    free = np.ones(len(data), bool)
+    free[:-1] = data[1:] < 128
+    last = np.where(_PUNCT[data], -1, np.arange(len(data)))
+    last = np.maximum.accumulate(last)[end - 1]
+    cut = np.flatnonzero((last >= start) & (last < end - 1) & _ALNUM[data[np.maximum(last, 0)]])
+    data = np.where(free, LOWER[data], data)
+    at = last[cut] + 1
+    return data, np.insert(start, cut + 1, at), np.insert(end, cut, at), np.insert(row, cut, row[cut])
+
+
 def document_tokens(column: pa.Array, store: TokenStore, end_id: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids with the end id) of each text."""
     for first, data, offsets in chunks(column, 4 << 20):
-        start, end, row = word_spans(data, offsets)
+        data, start, end, row = parted(data, *word_spans(data, offsets))
         cuts = np.zeros(2 * len(start) + 1, np.int64)
         cuts[:-1:2], cuts[1::2] = start, end
         cuts[-1] = end[-1] if len(end) else 0

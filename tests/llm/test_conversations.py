@@ -276,3 +276,21 @@ def test_words_encoded_together_equal_the_tokenizer():
     for column in (texts, texts[:1], []):
         got = [ids.tolist() for _, ids in packing.document_tokens(pa.array(column, pa.string()), packing.FlatStore(packing.word_tokenizer(path)), 1)]
         assert got == [plain.encode(x or "", add_special_tokens=False).ids + [1] for x in column]
+
+
+def test_words_are_parted_where_the_tokenizer_parts_them():
+    """Ids of texts with capitals, marks, quotes and special tokens equal the tokenizer's; words share their stored ids."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from retainer.llm import packing
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    for text in ["J̌. J̌X Ǩ!! İ. İx. X!", "Don't DOGS'. 'S 's. WE'LL! a.b.c. ... !? 9. a…. ΣΣ. K, Z̸= ≮", "Ab.<|endoftext|>. X<|EndOfText|>!", "Q¾R. ¾! A¾.", "", None]:
+        [(_, ids)] = packing.document_tokens(pa.array([text], pa.string()), packing.FlatStore(packing.word_tokenizer(path)), 1)
+        assert ids.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1]
+    store = packing.FlatStore(packing.word_tokenizer(path))
+    list(packing.document_tokens(pa.array(["Word word. WORD, word"]), store, 1))
+    assert set(store.place) == {b"word", b".", b","}
