@@ -33,7 +33,9 @@ def scaled_vectors(df: DataFrame, cols: Sequence[str] = S.CLUSTER_FEATURES,
 def _arrays(vectors: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    return written(vectors.select(vector_to_array("features").alias("v")), "cluster-vectors")
+    # a small table of many passes: one part a core, where the planner would leave a few by its bytes
+    parts = vectors.sparkSession.sparkContext.defaultParallelism
+    return written(vectors.select(vector_to_array("features").alias("v")).repartition(parts), "cluster-vectors")
 
 
 def elbow_curve(vectors: DataFrame, ks: Sequence[int] = range(2, 11), n_init: int = 10,
