@@ -214,3 +214,56 @@ def test_trees_of_a_forest_apart_grow_together(spark, table, monkeypatch):
     [(growth, _)] = EN.growths("forest", [setting(n_estimators=6, max_depth=2)], [0], DIM)
     EN.grow_apart(EN.binned_rows(data, "x", cuts), [growth], DIM)
     assert len(growth.trees) == 6 and len(steps) == 2
+
+
+def test_features_counted_together_give_the_same_sums():
+    rng = np.random.default_rng(8)
+    columns = np.stack([rng.integers(0, b, 3000) for b in (32, 2, 3, 32, 2, 7, 1)]).astype(np.uint8)
+    part = rng.integers(-EN.UNIT, EN.UNIT, 3000).astype(float)
+    joint = EN.Joint(columns)
+    assert len(joint.groups) == 2 and sorted(sum(joint.groups, [])) == list(range(7))
+    features = np.broadcast_to(np.arange(7), (3, 7))
+    rows = rng.permutation(3000)[:2000]
+    slot = np.sort(rng.integers(0, 3, 2000))
+    for a, b in zip(EN.histogram(columns, rows, slot, [part], features, joint), EN.histogram(columns, rows, slot, [part[rows]], features)):
+        assert np.array_equal(a, b)
+    one = np.zeros(3000, np.int64)
+    for a, b in zip(EN.histogram(columns, None, one, [part], features[:1], joint), EN.histogram(columns, None, one, [part], features[:1])):
+        assert np.array_equal(a, b)
+
+
+@pytest.mark.parametrize("sample", [1.0, 0.8])
+def test_boosted_sums_are_those_of_all_rows(sample):
+    """Targets, curvature and samples of the rows kept by node are those of ``stats``."""
+    _, rows, _ = toy()
+    growth, score = EN.Boosted(0, 7, EN.Rules(DIM, 3, 1), 1, subsample=sample), np.random.default_rng(1).normal(size=len(rows))
+    mine = rows.take(np.flatnonzero(growth.used(rows)))
+    score = score[: len(mine)]
+    shared = EN.Residuals(growth, np.ascontiguousarray(mine.bins.T), mine)
+    live, rest = shared.set(score, 3)
+    n, _, z, h = growth.stats(mine, score, 3)
+    assert np.array_equal(live, np.flatnonzero(n)) and np.array_equal(np.sort(np.r_[live, rest]), np.arange(len(mine)))
+    assert np.array_equal(shared.target[live], z[live]) and np.array_equal(shared.curve[live], h[live])
+
+
+def test_tables_of_hundreds_of_thousands_of_rows_need_no_job_a_level(spark, monkeypatch):
+    rows = spark.range(0, 300_000, 1, 8).select(F.col("id").alias("rid"), F.array((F.col("id") % 7).cast("double"), (F.col("id") % 5).cast("double")).alias("x"),
+                                                (F.col("id") % 7 > 3).cast("int").alias("y"), F.lit(2).cast("long").alias("mask"), F.lit(0).alias("held"))
+    monkeypatch.setattr(EN, "grow_apart", lambda *more: pytest.fail("a job a level"))
+    grid = [{"n_estimators": 2, "learning_rate": 1.0, "max_depth": 2, "subsample": 1.0}]
+    plan = [(EN.Boosted(1, 42, EN.Rules(2, 2, 1), 2, rate=1.0), grid)]
+    table = EN.binned_rows(rows, "x", [[0.0, 1.0, 2.0, 3.0, 4.0, 5.0], [0.0, 1.0, 2.0, 3.0]])
+    assert EN.fold_counts(table, plan, 2).count() == 1
+    [grown] = EN.train(table, [EN.Boosted(1, 42, EN.Rules(2, 2, 1), 2)], 2)
+    assert len(grown.trees) == 2
+
+
+def test_forests_to_keep_are_grown_in_parts(spark, table, monkeypatch):
+    data, cuts = table
+    rows = EN.binned_rows(data, "x", cuts)
+    whole = EN.grow_here(EN.Forest(0, 42, EN.Rules(2, 5, 1), 5), EN._rows_of(rows.orderBy("rid").toArrow(), DIM))
+    monkeypatch.setattr(EN, "BAGS", 2)
+    [parts] = EN.train(rows, [EN.Forest(0, 42, EN.Rules(2, 5, 1), 5)], DIM)
+    assert len(EN._pieces([EN.Forest(0, 42, EN.Rules(2, 5, 1), 5)])) == 3 and len(parts.trees) == 5
+    for s, t in zip(parts.trees, whole.trees, strict=True):
+        assert all(np.array_equal(getattr(s, part), getattr(t, part)) for part in EN._PARTS)
